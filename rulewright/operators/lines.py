@@ -164,33 +164,41 @@ def class_anchor(lines: DataFrame, block_size: int | None = None) -> DataFrame:
         F.regexp_extract("a._b.line", r"^(\s*)", 1).alias("brace_indent"))
 
 
-def renumber(rows: DataFrame, block_size: int | None = None) -> DataFrame:
+SUB_STEP = 1 << 20
+
+
+def sub_at(line_no: Column, idx: Column) -> Column:
+    """Order number for rows put behind one anchor, from the place their content was first seen."""
+    return (line_no.cast("bigint") * SUB_STEP + idx).cast("bigint")
+
+
+def renumber(rows: DataFrame, anchors: DataFrame | None = None, block_size: int | None = None) -> DataFrame:
     """Number the rows of each file 1..n in (line_no, sub) order.
 
     ``sub`` orders rows put at the same line: 0 is the line itself, negative before it, positive
-    after it. A row's new number is a running count, so a file may be of any size.
+    after it. A row's new number is a running count, so a file may be of any size. Where very many
+    rows go behind one line per file (generated constants), ``anchors`` (file_id, anchor) names that
+    line and its insertions are cut into blocks by ``sub`` as well.
     """
     size = block_size or _scan.BLOCK_LINES
-    blocks = [line_block("line_no", size), F.floor(F.col("sub") / F.lit(SUB_STEP * size))]
+    blocks = [line_block("line_no", size)]
+    if anchors is not None:
+        rows = rows.join(anchors.select("file_id", F.col("anchor").alias("_anchor")), "file_id", "left")
+        behind = (F.col("line_no") == F.col("_anchor")) & (F.col("sub") > 0)
+        part = F.when(behind, 1).when(F.col("line_no") > F.col("_anchor"), 2).otherwise(0)
+        blocks += [part, F.when(behind, F.floor(F.col("sub") / F.lit(SUB_STEP * size))).otherwise(0)]
     return scan(rows, ["file_id"], ["line_no", "sub"], blocks=blocks, _no=Total(F.lit(1).cast("bigint"))).select(
         "file_id", F.col("_no").cast("int").alias("line_no"), "line")
 
 
-SUB_STEP = 1 << 20
-
-
-def sub_at(line_no: Column, idx: Column) -> Column:
-    """Order number for rows put behind one anchor, from the place their content was first seen."""
-    return (line_no.cast("bigint") * SUB_STEP + idx).cast("bigint")
-
-
 def delete_lines(lines: DataFrame, doomed: DataFrame) -> DataFrame:
     """Remove the lines named by (file_id, line_no); numbers keep their gaps until renumbered."""
     return lines.join(doomed.select("file_id", "line_no"), ["file_id", "line_no"], "left_anti")
 
 
-def insert_after(lines: DataFrame, extra: DataFrame, block_size: int | None = None) -> DataFrame:
+def insert_after(lines: DataFrame, extra: DataFrame, anchors: DataFrame | None = None,
+                 block_size: int | None = None) -> DataFrame:
     """Insert ``extra`` (file_id, line_no, sub, line) around the given lines and renumber."""
     rows = lines.select("file_id", "line_no", F.lit(0).cast("bigint").alias("sub"), "line")
     return renumber(rows.unionByName(extra.select("file_id", "line_no", F.col("sub").cast("bigint"), "line")),
-                    block_size)
+                    anchors, block_size)

@@ -80,8 +80,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], block_size: int | N
             carry.append(F.last(f"_s_{name}", ignorenulls=True)
                          .over(over_blocks_back if back else over_blocks).alias(f"_c_{name}"))
     per_block = base.groupBy(*parts).agg(*summary)
-    per_block = per_block.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    carried = per_block.select(*parts, "_n", *carry).where("_n > 1").drop("_n")
+    several = per_block.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n > 1")
+    carried = several.select(*parts, *carry)
     out = base.withColumns(local).join(carried, parts, "left")
     final = {}
     for name, s in specs.items():

@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from rulewright.plans import line_queries  # noqa: F401
+from rulewright.plans import finding_queries, line_queries, line_rule_queries  # noqa: F401
 from rulewright.plans.registry import ORACLES, QUERIES  # noqa: F401
