@@ -1,5 +1,5 @@
 """Imports every query module, so that the registry is complete."""
 
 from rulewright.plans import (  # noqa: F401
-    declaration_queries, finding_queries, line_queries, line_rule_queries)
+    declaration_queries, file_rule_queries, finding_queries, line_queries, line_rule_queries)
 from rulewright.plans.registry import ORACLES, QUERIES  # noqa: F401
