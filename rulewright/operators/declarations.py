@@ -97,6 +97,19 @@ def parameter_part(i: int, params: Column) -> Column:
     return F.transform(clean, lambda p: F.regexp_extract(p, pattern, i + 1))
 
 
+def _owner() -> Column:
+    parent = F.col("parent_text")
+    return F.coalesce(F.when(type_header(parent), type_name(parent)).otherwise(""), F.lit(""))
+
+
+def method_header() -> Column:
+    """Whether a row of the block structure is a method or constructor header."""
+    mods, ret = F.regexp_extract("line", METHOD, 1), strip(F.regexp_extract("line", METHOD, 2))
+    name = F.regexp_extract("line", METHOD, 3)
+    return (F.col("line").rlike(METHOD) & ~name.isin(NOT_A_NAME) & ~ret.isin(NOT_A_TYPE)
+            & ((ret != "") | (name == _owner())) & ((mods != "") | (_owner() != "")))
+
+
 def extract_methods(st: DataFrame) -> DataFrame:
     """D3: methods and constructors. A constructor is ``<init>Name(types)`` and returns void.
 
@@ -104,18 +117,13 @@ def extract_methods(st: DataFrame) -> DataFrame:
     enclosing type, empty when the header lies in some other block. A method without a matching
     closing brace has no ``end_line``.
     """
-    line = F.col("line")
     part = {n: F.regexp_extract("line", METHOD, i) for i, n in enumerate(["mods", "ret", "name", "params", "open"], 1)}
-    owner = F.when(type_header(F.col("parent_text")), type_name(F.col("parent_text"))).otherwise("")
-    owner = F.coalesce(owner, F.lit(""))
-    rows = st.where(line.rlike(METHOD)).select(
-        "file_id", "line_no", "end_line", owner.alias("class_name"), *[v.alias(k) for k, v in part.items()])
+    rows = st.where(method_header()).select(
+        "file_id", "line_no", "end_line", _owner().alias("class_name"), *[v.alias(k) for k, v in part.items()])
     rows = rows.withColumn("ret", strip(F.col("ret")))
     ctor = (F.col("ret") == "") & (F.col("name") == F.col("class_name"))
-    keep = (~F.col("name").isin(NOT_A_NAME) & ~F.col("ret").isin(NOT_A_TYPE)
-            & ((F.col("ret") != "") | ctor) & ((F.col("mods") != "") | (F.col("class_name") != "")))
     types = parameter_part(0, F.col("params"))
-    return rows.where(keep).select(
+    return rows.select(
         "file_id", "class_name",
         F.when(ctor, F.concat(F.lit("<init>"), F.col("name"), F.lit("("), F.array_join(types, ","), F.lit(")")))
         .otherwise(F.col("name")).alias("name"),

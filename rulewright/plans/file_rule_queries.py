@@ -193,7 +193,7 @@ rn1 AS (SELECT *, string_split(lower(old), '_') AS ps FROM rn0),
 rn2 AS (SELECT file_id, old, line, finding_id,
     concat(CASE WHEN style = 'camel' THEN ps[1] ELSE concat(upper(ps[1][1]), substr(ps[1], 2)) END,
       list_aggregate(list_transform(ps[2:], lambda w: concat(upper(w[1]), substr(w, 2))), 'string_agg', '')) AS new FROM rn1),
-rn AS MATERIALIZED (SELECT file_id, old, arg_min(new, line * 1000000000 + finding_id) AS new FROM rn2 GROUP BY 1, 2)"""
+rn AS MATERIALIZED (SELECT file_id, old, arg_min(new, CAST(line AS BIGINT) * 1000000000 + finding_id) AS new FROM rn2 GROUP BY 1, 2)"""
 
 
 @query("r13_renames", with_tables("cl fe", RENAME_SQL, body="SELECT * FROM rn"))
