@@ -9,12 +9,16 @@ job. ``scan`` cuts every group into blocks of consecutive rows and works in thre
    nothing to carry and are removed from the summary side, so for ordinary files that side is
    empty.
 
-The rows are shuffled once: both step 1 and step 2 read the same exchange.
+The rows are computed and shuffled once: steps 1 and 2 read the same exchange. Spark shares an
+exchange only if both readers ask for the same rows and columns, so both sides touch all columns
+and rows without a key, which belong to no group, are left out first. Callers select what they need
+before a scan.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,7 +59,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], block_size: int | N
     """
     cut = blocks or [line_block(order[0], block_size)]
     blk = [f"_blk{i}" for i in range(len(cut))]
-    base = rows.withColumns(dict(zip(blk, cut))).repartition(*keys, *blk)
+    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, *blk]])
+    base = rows.withColumns(dict(zip(blk, cut))).where(keyed).repartition(*keys, *blk)
     parts = keys + blk
     place = F.struct(*order)
     forward = Window.partitionBy(*parts).orderBy(*order)
@@ -64,7 +69,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], block_size: int | N
     over_blocks_back = (Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in blk])
                         .rowsBetween(Window.unboundedPreceding, -1))
 
-    local, summary, carry = {}, [F.max(F.lit(1)).alias("_one")], []
+    touched = F.try_add(F.hash(*base.columns).cast("bigint"), F.lit(1))  # needs every column, is never null
+    local, summary, carry = {}, [F.sum(touched).alias("_touched")], []
     for name, s in specs.items():
         edge = 0 if getattr(s, "current", True) else -1
         if isinstance(s, Total):
@@ -80,9 +86,9 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], block_size: int | N
             carry.append(F.last(f"_s_{name}", ignorenulls=True)
                          .over(over_blocks_back if back else over_blocks).alias(f"_c_{name}"))
     per_block = base.groupBy(*parts).agg(*summary)
-    several = per_block.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n > 1")
+    several = per_block.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n > 1 AND _touched IS NOT NULL")
     carried = several.select(*parts, *carry)
-    out = base.withColumns(local).join(carried, parts, "left")
+    out = base.withColumns(local).where(touched.isNotNull()).join(carried, parts, "left")
     final = {}
     for name, s in specs.items():
         c = F.col(f"_c_{name}")
