@@ -247,18 +247,16 @@ def interior_counts(st: DataFrame, start: Column, **conds: Column) -> DataFrame:
         "file_id", "line_no", "line", "end_line", *[(F.col(f"_e_{k}") - F.col(k)).alias(k) for k in conds])
 
 
-def _method_open(c: Column) -> Column:
-    return (c.rlike(D.METHOD) & (F.regexp_extract(c, D.METHOD, 5) == "{")
-            & ~F.regexp_extract(c, D.METHOD, 3).isin(D.NOT_A_NAME)
-            & ~strip(F.regexp_extract(c, D.METHOD, 2)).isin("", *D.NOT_A_TYPE))
+def _method_open() -> Column:
+    return D.method_header() & (F.regexp_extract("line", D.METHOD, 5) == "{")
 
 
 def empty_methods(st: DataFrame) -> DataFrame:
     """Methods with nothing but blank and comment lines between their braces."""
     line, text = F.col("line"), strip(F.col("line"))
     solid = (text != "") & ~starts(text, "//", "/*", "*")
-    long = interior_counts(st, _method_open(line), n=solid).where("n = 0").select("file_id", "line_no", "line", "end_line")
-    short = st.where(_method_open(line) & (F.col("end_line") == F.col("line_no")) & line.rlike(r"\{\s*\}\s*$"))
+    long = interior_counts(st, _method_open(), n=solid).where("n = 0").select("file_id", "line_no", "line", "end_line")
+    short = st.where(_method_open() & (F.col("end_line") == F.col("line_no")) & line.rlike(r"\{\s*\}\s*$"))
     return long.unionByName(short.select("file_id", "line_no", "line", "end_line"))
 
 

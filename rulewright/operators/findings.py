@@ -45,12 +45,12 @@ def source_ladder(findings: DataFrame, project: str, hotspots: DataFrame | None
 def first_nonempty(sources: list[DataFrame]) -> DataFrame:
     """S3: rows of the first source that has any, with its number as ``source_no``.
 
-    One lazy plan: the smallest source number present is a single value joined back by equality.
+    One lazy plan: the smallest source number present is a scalar subquery.
     """
     tagged = reduce(DataFrame.unionByName,
                     [s.withColumn("source_no", F.lit(i)) for i, s in enumerate(sources, 1)])
-    best = tagged.agg(F.min("source_no").alias("source_no"))  # always exactly one row
-    return tagged.join(F.broadcast(best), "source_no", "left_semi")
+    best = tagged.agg(F.min("source_no").alias("source_no")).scalar()
+    return tagged.where(F.col("source_no") == best)
 
 
 def select_fixable(findings: DataFrame, rules: list[str] = SAFE_RULES) -> DataFrame:

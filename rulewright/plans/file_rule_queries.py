@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rulewright.operators import declarations as D
 from rulewright.operators import file_rules as X
 from rulewright.operators import lines as L
-from rulewright.plans.declaration_queries import IMPORT_SQL, corpus, joined, listed, m, trimmed, x
+from rulewright.plans.declaration_queries import IMPORT_SQL, METHOD_SQL, corpus, joined, m, x
 from rulewright.plans.line_queries import ANCHOR_SQL, LOOP_SQL, STRUCT_SQL
 from rulewright.plans.registry import query, quoted as q, with_tables
 from rulewright.sources.derived import code_lines, findings, table
@@ -163,21 +163,20 @@ def _(spark, sf):
     return X.build_urls(code_lines(spark, sf))
 
 
-OPEN_METHOD = (f"{m(D.METHOD)} AND {x(D.METHOD, 5)} = '{{' AND {x(D.METHOD, 3)} NOT IN {listed(D.NOT_A_NAME)} "
-               f"AND {trimmed(x(D.METHOD, 2))} NOT IN {listed([''] + D.NOT_A_TYPE)}")
 R12_SQL = f"""em AS (
-  SELECT file_id, line_no, line, end_line FROM st h WHERE {OPEN_METHOD} AND (
-    (end_line > line_no AND NOT EXISTS (SELECT 1 FROM st b WHERE b.file_id = h.file_id AND b.line_no > h.line_no AND b.line_no < h.end_line
+  SELECT h.file_id, line_no, line, h.end_line FROM st h JOIN me ON me.file_id = h.file_id AND me.start_line = h.line_no
+  WHERE {x(D.METHOD, 5)} = '{{' AND (
+    (h.end_line > line_no AND NOT EXISTS (SELECT 1 FROM st b WHERE b.file_id = h.file_id AND b.line_no > h.line_no AND b.line_no < h.end_line
       AND regexp_replace(b.line, '\\s', '', 'g') <> '' AND NOT regexp_matches(b.line, '^\\s*(//|/\\*|\\*)')))
-    OR (end_line = line_no AND regexp_matches(line, '\\{{\\s*\\}}\\s*$'))))"""
+    OR (h.end_line = line_no AND regexp_matches(line, '\\{{\\s*\\}}\\s*$'))))"""
 
 
-@query("r12_empty_methods", with_tables("cl", STRUCT_SQL, R12_SQL, body="SELECT * FROM em"))
+@query("r12_empty_methods", with_tables("cl", STRUCT_SQL, METHOD_SQL, R12_SQL, body="SELECT * FROM em"))
 def _(spark, sf):
     return X.empty_methods(corpus(spark, sf)[1])
 
 
-@query("r12_explain_empty_methods", with_tables("cl", STRUCT_SQL, R12_SQL, """r AS (
+@query("r12_explain_empty_methods", with_tables("cl", STRUCT_SQL, METHOD_SQL, R12_SQL, """r AS (
   SELECT file_id, line_no, 0 AS sub, line FROM cl UNION ALL
   SELECT file_id, line_no, 1, concat(regexp_extract(line, '^(\\s*)', 1), '    // Intentionally empty - Add a reason') FROM em WHERE end_line > line_no)""", body=NUMBERED))
 def _(spark, sf):

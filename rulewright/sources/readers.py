@@ -17,7 +17,7 @@ def read_sources(spark: SparkSession, root: str, glob: str = "*.java") -> DataFr
     """
     found = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
              .option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
-             .option("wholetext", True).text(root))
+             .text(root, wholetext=True))
     base = root.rstrip("/") + "/"
     return found.select(F.substring_index(F.col("_metadata.file_path"), base, -1).alias("path"),
                         F.col("value").alias("text"))
