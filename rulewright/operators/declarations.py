@@ -64,6 +64,18 @@ def type_name(c: Column) -> Column:
     return F.regexp_extract(c, TYPE, 3)
 
 
+def _qualified(name: Column) -> Column:
+    package = F.coalesce(F.col("package"), F.lit(""))
+    return F.when(package == "", name).otherwise(F.concat_ws(".", package, name))
+
+
+def type_names(lines: DataFrame) -> DataFrame:
+    """D2 without extents: which file declares which class. Needs no block structure."""
+    heads = lines.where(type_header(F.col("line"))).select("file_id", "line_no", type_name(F.col("line")).alias("name"))
+    return heads.join(extract_packages(lines), "file_id", "left").select(
+        "file_id", "line_no", "name", _qualified(F.col("name")).alias("qualified_name"))
+
+
 def extract_types(st: DataFrame, lines: DataFrame) -> DataFrame:
     """Classes, interfaces and enums with the annotations on or directly above their line."""
     line = F.col("line")
@@ -79,9 +91,8 @@ def extract_types(st: DataFrame, lines: DataFrame) -> DataFrame:
     inline = F.regexp_extract_all(F.regexp_extract("line", r"^(.*?)(?:class|interface|enum)\s", 1), F.lit(ANNOTATION), F.lit(1))
     empty = F.array().cast("array<string>")
     package = F.coalesce(F.col("package"), F.lit(""))
-    qualified = F.when(package == "", type_name(line)).otherwise(F.concat_ws(".", package, type_name(line)))
     return (heads.join(above, ["file_id", "line_no"], "left").join(extract_packages(lines), "file_id", "left").select(
-        "file_id", type_name(line).alias("name"), qualified.alias("qualified_name"), package.alias("package"),
+        "file_id", type_name(line).alias("name"), _qualified(type_name(line)).alias("qualified_name"), package.alias("package"),
         kind.alias("kind"), ((kind == "interface") | has(mods, "abstract")).alias("is_abstract"),
         F.when((kind == "interface") & line.rlike(EXTENDS), parents).otherwise(empty).alias("interfaces"),
         F.concat(F.coalesce(F.transform("_above", lambda x: x["a"]), empty), inline).alias("annotations"),

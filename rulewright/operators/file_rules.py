@@ -37,7 +37,7 @@ LAST_WORD_BEFORE_PAREN = r"^[^(]*?([^\s(]+)\s*\("
 CALLED = r"[. ]([A-Za-z0-9_]+)\("
 CONTAINS_KEY = r"([A-Za-z0-9_.]+)\.containsKey\(([^)]+)\)"
 ASSIGNED_LOCAL = r"^[^=]*?([^\s=]+)\s*="
-FIRST_CALL = r"([A-Za-z0-9_]+)\s*\("
+FIRST_CALL = r"\breturn\b.*?([A-Za-z_][A-Za-z0-9_]*)\s*\(.*\)"
 PIECES = r"([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"
 
 
@@ -422,9 +422,9 @@ def remove_unused_locals(lines: DataFrame) -> DataFrame:
 
 # R31 --------------------------------------------------------------------------------------------
 def recursion_candidates(lines: DataFrame) -> DataFrame:
-    """Per file the first line that returns a call, for review."""
+    """Per file the first line that returns a call, for review (the call after ``return``)."""
     line = F.col("line")
-    found = lines.where(has(line, "return") & has(line, "(") & has(line, ")") & line.rlike(FIRST_CALL))
+    found = lines.where(has(line, "return") & line.rlike(FIRST_CALL))
     first = F.min(F.struct("line_no", "line"))
     return found.groupBy("file_id").agg(first.alias("f")).select(
         "file_id", F.col("f.line_no").alias("line_no"), F.regexp_extract("f.line", FIRST_CALL, 1).alias("callee"))

@@ -25,15 +25,28 @@ METHOD_KEY = ["file_id", "method_line"]
 
 
 def method_lines(st: DataFrame) -> DataFrame:
-    """Lines inside methods with ``method_line``, ``method_end`` (null: never closed).
+    """Lines inside methods, with ``method_line``, ``method_end`` (null: never closed) and ``nesting``.
 
-    A line belongs to the last header above it whose block has not ended.
+    A line belongs to the last header at or above it whose block has not ended. ``nesting`` is the
+    number of control blocks the line lies in: a block counts after its first line and no longer on
+    the line that closes it. Every row sends itself and, if it opens a control block, an event to the
+    line that closes it, so one scan answers both.
     """
-    here = D.method_header()
+    opens = F.col("line").rlike(CONTROL_BLOCK) & (F.col("depth_after") > F.col("dip"))
+    payload = [c for c in st.columns if c not in ("file_id", "line_no")]
+    row = F.struct("line_no", F.lit(1).alias("sub"), F.when(opens, 1).otherwise(0).alias("delta"), F.struct(*payload).alias("r"))
+    none = F.lit(None).cast(st.select(F.struct(*payload)).schema[0].dataType)
+    closing = F.struct(F.col("end_line").alias("line_no"), F.lit(0).alias("sub"), F.lit(-1).alias("delta"), none.alias("r"))
+    both = F.when(opens & F.col("end_line").isNotNull(), F.array(row, closing)).otherwise(F.array(row))
+    events = st.select("file_id", F.explode(both).alias("e")).select(
+        "file_id", "e.line_no", "e.sub", "e.delta", *[F.col(f"e.r.{c}").alias(c) for c in payload])
     end = F.when(F.regexp_extract("line", D.METHOD, 5) == ";", F.col("line_no")).otherwise(F.col("end_line"))
-    seen = scan(st, ["file_id"], ["line_no"], _m=Last(F.when(here, F.struct("line_no", end.alias("end")))))
-    return (seen.where(F.col("_m").isNotNull() & (F.col("_m.end").isNull() | (F.col("line_no") <= F.col("_m.end"))))
-            .withColumns({"method_line": F.col("_m.line_no"), "method_end": F.col("_m.end")}).drop("_m"))
+    head = F.when((F.col("sub") == 1) & D.method_header(), F.struct("line_no", end.alias("end")))
+    seen = scan(events, ["file_id"], ["line_no", "sub"], _open=Total(F.col("delta").cast("bigint")), _m=Last(head))
+    inside = F.col("_m").isNotNull() & (F.col("_m.end").isNull() | (F.col("line_no") <= F.col("_m.end")))
+    return (seen.where((F.col("sub") == 1) & inside)
+            .withColumns({"method_line": F.col("_m.line_no"), "method_end": F.col("_m.end"),
+                          "nesting": F.col("_open") - F.col("delta")}).drop("_m", "_open", "sub", "delta"))
 
 
 def branches(strict: bool = False) -> Column:
@@ -49,27 +62,10 @@ def cyclomatic(ml: DataFrame, strict: bool = False) -> DataFrame:
     return ml.groupBy(*METHOD_KEY).agg((F.sum(branches(strict)) + 1).alias("cyclomatic"))
 
 
-def nesting(st: DataFrame) -> DataFrame:
-    """Number of control blocks each line lies in.
-
-    A running count of blocks opened minus blocks closed: a block counts after its first line and
-    no longer on the line that closes it.
-    """
-    opens = F.col("line").rlike(CONTROL_BLOCK) & (F.col("depth_after") > F.col("dip"))
-    own = F.when(opens, 1).otherwise(0)
-    lines = st.select("file_id", "line_no", F.lit(1).alias("sub"), own.alias("delta"), "line")
-    ends = st.where(opens & F.col("end_line").isNotNull()).select(
-        "file_id", F.col("end_line").alias("line_no"), F.lit(0).alias("sub"), F.lit(-1).alias("delta"),
-        F.lit(None).cast("string").alias("line"))
-    out = scan(lines.unionByName(ends), ["file_id"], ["line_no", "sub"], _open=Total(F.col("delta").cast("bigint")))
-    return out.where("sub = 1").select("file_id", "line_no", "line", (F.col("_open") - F.col("delta")).alias("nesting"))
-
-
-def cognitive(st: DataFrame, ml: DataFrame) -> DataFrame:
+def cognitive(ml: DataFrame) -> DataFrame:
     """M2: every control word costs one plus the control blocks around it within its method."""
-    inside = ml.select("file_id", "line_no", "method_line").join(nesting(st), ["file_id", "line_no"])
     n = F.regexp_count("line", F.lit(CONTROL))
-    per = inside.groupBy(*METHOD_KEY).agg(
+    per = ml.groupBy(*METHOD_KEY).agg(
         F.sum(n * (F.col("nesting") + 1)).alias("_all"), F.sum(n).alias("_n"),
         F.max(F.when(F.col("line_no") == F.col("method_line"), F.col("nesting"))).alias("_base"))
     return per.select(*METHOD_KEY, (F.col("_all") - F.col("_n") * F.col("_base")).alias("cognitive"))
@@ -97,13 +93,11 @@ def max_nesting(ml: DataFrame) -> DataFrame:
     return ml.groupBy(*METHOD_KEY).agg(F.greatest(deepest - base, F.lit(0)).alias("max_nesting"))
 
 
-def method_metrics(st: DataFrame, ml: DataFrame | None = None) -> DataFrame:
+def method_metrics(ml: DataFrame) -> DataFrame:
     """M1, M2, M3 and M11 of every method in one aggregation over its lines."""
-    ml = method_lines(st) if ml is None else ml
     n = F.regexp_count("line", F.lit(CONTROL))
-    inside = ml.join(nesting(st).drop("line"), ["file_id", "line_no"])
     head = F.col("line_no") == F.col("method_line")
-    per = inside.groupBy(*METHOD_KEY).agg(
+    per = ml.groupBy(*METHOD_KEY).agg(
         F.sum(branches()).alias("_b"), F.sum(n * (F.col("nesting") + 1)).alias("_all"), F.sum(n).alias("_n"),
         F.max(F.when(head, F.col("nesting"))).alias("_base"), F.max("depth_after").alias("_deep"),
         F.max(F.when(head, F.col("depth_after"))).alias("_body"), F.max("line_no").alias("_last"))

@@ -146,8 +146,8 @@ mb AS MATERIALIZED (SELECT DISTINCT prefix, cm.file_id AS dst FROM (SELECT DISTI
 
 
 def parts(spark, sf):
-    lines, st = corpus(spark, sf)
-    return D.extract_imports(lines), G.class_map(D.extract_types(st, lines))
+    lines = code_lines(spark, sf)
+    return D.extract_imports(lines), G.class_map(D.type_names(lines))
 
 
 @query("d6_class_map", with_tables("cl", STRUCT_SQL, TYPE_SQL, CLASS_SQL, body="SELECT * FROM cm"))

@@ -321,6 +321,6 @@ def _(spark, sf):
 
 @query("r31_recursion_candidates", with_tables("cl", body=f"""
 SELECT file_id, min(line_no) AS line_no, arg_min({x(X.FIRST_CALL, 1)}, line_no) AS callee FROM cl
-WHERE contains(line, 'return') AND contains(line, '(') AND contains(line, ')') AND {m(X.FIRST_CALL)} GROUP BY 1"""))
+WHERE {m(X.FIRST_CALL)} GROUP BY 1"""))
 def _(spark, sf):
     return X.recursion_candidates(code_lines(spark, sf))

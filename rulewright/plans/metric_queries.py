@@ -60,8 +60,7 @@ def _(spark, sf):
 SELECT ml.file_id, ml.method_line, CAST(sum({n(M.CONTROL, 'ml.line')} * (1 + ne.nesting - b.nesting)) AS BIGINT) AS cognitive
 FROM ml JOIN ne USING (file_id, line_no) JOIN ne b ON b.file_id = ml.file_id AND b.line_no = ml.method_line GROUP BY 1, 2"""))
 def _(spark, sf):
-    _, st, ml = methods_of(spark, sf)
-    return M.cognitive(st, ml)
+    return M.cognitive(methods_of(spark, sf)[2])
 
 
 @query("m3_line_counts", with_tables("cl", STRUCT_SQL, METHOD_SQL, body=f"""
@@ -170,8 +169,7 @@ SELECT ml.file_id, ml.method_line, CAST(1 + sum({n(M.BRANCH, 'ml.line')}) AS BIG
   greatest(max(depth_after) - max(CASE WHEN ml.line_no = method_line THEN depth_after END), 0) AS max_nesting
 FROM ml JOIN ne USING (file_id, line_no) JOIN ne b ON b.file_id = ml.file_id AND b.line_no = ml.method_line GROUP BY 1, 2"""))
 def _(spark, sf):
-    _, st, ml = methods_of(spark, sf)
-    return M.method_metrics(st, ml)
+    return M.method_metrics(methods_of(spark, sf)[2])
 
 
 @query("d11_find_variables", with_tables("cl", STRUCT_SQL, ML_SQL, LOCAL_SQL, """

@@ -179,12 +179,12 @@ CALCULATOR = """public class Calculator {
 def test_metrics(lines_of):
     lines = lines_of(CALCULATOR)
     st = L.structure(lines)
-    got = {r.method_line: (r.cyclomatic, r.cognitive, r.line_count, r.max_nesting) for r in M.method_metrics(st).collect()}
+    got = {r.method_line: (r.cyclomatic, r.cognitive, r.line_count, r.max_nesting) for r in M.method_metrics(M.method_lines(st)).collect()}
     # deep: while 1, if 2, for 3, ?: 3
     assert got == {2: (1, 0, 3, 0), 6: (2, 1, 4, 0), 11: (6, 9, 12, 3)}
     strict = {r.method_line: r.cyclomatic for r in M.cyclomatic(M.method_lines(st), strict=True).collect()}
     assert strict[2] == 2 and strict[6] == 5
-    totals = M.file_metrics(lines, M.method_metrics(st)).first()
+    totals = M.file_metrics(lines, M.method_metrics(M.method_lines(st))).first()
     assert tuple(totals)[1:] == (9, 6, 3)
     assert [(r.line_no, r.callee) for r in X.recursion_candidates(lines).collect()] == [(8, "factorial")]
 
