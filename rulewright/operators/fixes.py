@@ -136,16 +136,18 @@ def balanced(text: Column) -> Column:
 HEADS = r"^\s*(?:package |import |public class|class |interface |enum )"
 
 
-def accept_fixes(old: DataFrame, new: DataFrame, verdicts: DataFrame, key: str = "file_id") -> DataFrame:
+def accept_fixes(old: DataFrame, new: DataFrame, verdicts: DataFrame | None = None, key: str = "file_id") -> DataFrame:
     """A4: accept a fix that is not empty, differs, is balanced and whose test verdict is not false.
 
     ``verdicts`` is (key, passed) with at most one row per key; no verdict counts as passed. ``form``
-    says whether the text is a whole unit or a fragment.
+    says whether the text is a whole unit or a fragment; further columns of ``new`` are kept.
     """
     text, before = F.col("text"), F.col("_old")
-    checked = (new.join(old.select(key, text.alias("_old")), key, "left").join(verdicts, key, "left"))
+    more = [c for c in new.columns if c not in (key, "text")]
+    checked = new.join(old.select(key, text.alias("_old")), key, "left")
+    checked = checked.join(verdicts, key, "left") if verdicts is not None else checked.withColumn("passed", F.lit(True))
     blank = strip(text) == ""
     reason = (F.when(F.coalesce(blank, F.lit(True)), "empty").when(text.eqNullSafe(before), "unchanged")
               .when(~balanced(text), "unbalanced").when(F.coalesce(F.col("passed"), F.lit(True)) == F.lit(False), "tests failed"))
-    return checked.select(key, reason.isNull().alias("accepted"), reason.alias("reason"),
+    return checked.select(key, *more, reason.isNull().alias("accepted"), reason.alias("reason"),
                           F.when(text.rlike(HEADS), "unit").otherwise("fragment").alias("form"))

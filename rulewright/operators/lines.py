@@ -29,11 +29,15 @@ def _joined(pos: str, text: str) -> Column:
     return F.array_join(F.transform(items, lambda x: x[text]), "\n")
 
 
+def assemble_blocks(lines: DataFrame, block_size: int | None = None) -> DataFrame:
+    """L2 for files too long for one value: text per block of lines, (file_id, blk, piece)."""
+    return (lines.withColumn("blk", line_block("line_no", block_size))
+            .groupBy("file_id", "blk").agg(_joined("line_no", "line").alias("piece")))
+
+
 def assemble(lines: DataFrame) -> DataFrame:
     """L2: text per file. Blocks are joined first, so only the finished pieces of a file meet."""
-    pieces = (lines.withColumn("blk", line_block())
-              .groupBy("file_id", "blk").agg(_joined("line_no", "line").alias("piece")))
-    return pieces.groupBy("file_id").agg(_joined("blk", "piece").alias("text"))
+    return assemble_blocks(lines).groupBy("file_id").agg(_joined("blk", "piece").alias("text"))
 
 
 def with_next(lines: DataFrame, block_size: int | None = None) -> DataFrame:

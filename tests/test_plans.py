@@ -39,6 +39,10 @@ def test_columns_are_pruned(spark):
     assert "ReadSchema: struct<text:string,source:string>" in p
 
 
+def test_inference_runs_once(spark):
+    assert plan(entry.queries()["e3_fix_complex"](spark, SF)).count("MapInPandas") == 1
+
+
 def test_sample_is_top_k(spark):
     assert "TakeOrderedAndProject" in plan(entry.queries()["p4_sample_cap"](spark, SF))
 
