@@ -19,6 +19,7 @@ import bisect
 import functools
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,30 +32,54 @@ from rulewright.llm.common import settled
 CAPACITY = 4096
 GROUPS = 400
 SMALL = 128  # lengths below are placed last, by best fit
+# Byte-level vocabularies write a byte without a visible Latin-1 character as one from U+0100 on, in order.
+BYTES = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 BUCKETS = 64  # per length, and one more for each million pieces
 
 
 class WordIds(dict):
-    """Word -> its token ids as little-endian uint32 bytes, remembered up to a bound. The tokenizer drops white space
+    """Word -> its token ids as native uint32 bytes, remembered up to a bound. The tokenizer drops white space
     before it merges, so a text's ids are those of its words in order. Only blanks and line ends separate words here;
-    the tokenizer treats other white space by its own rule."""
+    the tokenizer treats other white space by its own rule.
 
-    def __init__(self, tokenizer_path: str, bound: int = 200_000):
+    A new word of ASCII or Latin-1 letters, with one punctuation mark at most behind it, is one pre-token (and the
+    mark another), so it goes to the tokenizer's model at once; any other word takes the whole encoder."""
+
+    def __init__(self, tokenizer_path: str, bound: int = 800_000):
         from tokenizers import Tokenizer
         self.tokenizer, self.bound = Tokenizer.from_file(tokenizer_path), bound
+        self.marks = {"": b""} | {ch: self.whole(ch) for ch in ".,;:!?"}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def learn(self, words: set[str]) -> None:
+        """Remember the ids of ``words``."""
+        model, marks = self.tokenizer.model.tokenize, self.marks
+        for w in words:
+            core, mark = (w[:-1], w[-1:]) if w[-1:] in marks else (w, "")
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                core = core.lower()
+                ids = self.get(core)
+                if ids is None:
+                    text = core if core.isascii() else core.encode().decode("latin-1").translate(BYTES)
+                    ids = self[core] = array("I", [t.id for t in model(text)]).tobytes()
+                self[w] = ids + marks[mark]
+            else:
+                self[w] = self.whole(w)
 
     def encode(self, text: str) -> bytes:
+        """The ids of a text."""
         words = text.replace("\n", " ").split(" ")
-        new = list(set(words).difference(self))
-        if new:
-            if len(self) + len(new) > self.bound:
+        ids = list(map(self.get, words))
+        if None in ids:
+            new = {w for w, x in zip(words, ids) if x is None}
+            if len(self) + 2 * len(new) > self.bound:
                 self.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                part = new[i:i + 10_000]
-                for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                    self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+                new = set(words)
+            self.learn(new)
+            ids = map(self.__getitem__, words)
+        return b"".join(ids)
 
 
 @functools.cache
