@@ -7,7 +7,7 @@ the product of its users and its members. Walking both halves gives the same dep
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,10 +89,12 @@ COMPACT_ROUNDS = 16  # the reached set is written anew this often, so that its p
 
 
 def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; only a session without one (a test) gets its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rulewright-"))
+    """Use the cluster's ``spark.checkpoint.dir``; a session without one gets a folder below its warehouse, which
+    executors share."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or
+                                            f"{spark.conf.get('spark.sql.warehouse.dir')}/rulewright-{uuid.uuid4().hex}")
 
 
 def impact(edges: DataFrame, seeds: DataFrame, package_hops: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
