@@ -119,20 +119,26 @@ def literal_pieces(lines: DataFrame) -> DataFrame:
 
 
 def duplicate_literals(lines: DataFrame, min_length: int = 6) -> DataFrame:
-    """Literals of at least ``min_length`` characters that a file has more than once."""
+    """Literals of at least ``min_length`` characters that a file has more than once.
+
+    ``constant`` is a readable name of up to 30 characters; where literals of one file share it, each gets an
+    ending made from its whole text.
+    """
     found = (literal_pieces(lines).where(F.col("is_literal") & (F.length("piece") >= min_length))
              .groupBy("file_id", F.col("piece").alias("literal"))
              .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "idx")).alias("_first")).where("n > 1"))
-    const = F.concat(F.lit("STR_"), F.substring(F.regexp_replace(F.upper("literal"), "[^A-Z0-9]", "_"), 1, 30))
-    return found.select("file_id", "literal", "n", const.alias("constant"),
-                        F.col("_first.line_no").alias("first_line"), F.col("_first.idx").alias("first_idx"))
+    short = F.concat(F.lit("STR_"), F.substring(F.regexp_replace(F.upper("literal"), "[^A-Z0-9]", "_"), 1, 30))
+    found = found.withColumn("_short", short)
+    shared = found.groupBy("file_id", "_short").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
+    ending = F.concat(F.lit("_"), F.substring(F.upper(F.md5(F.col("literal").cast("binary"))), 1, 16))
+    const = F.concat("_short", F.when(F.col("_same").isNotNull(), ending).otherwise(""))
+    return found.join(shared, ["file_id", "_short"], "left").select(
+        "file_id", "literal", "n", const.alias("constant"),
+        F.col("_first.line_no").alias("first_line"), F.col("_first.idx").alias("first_idx"))
 
 
 def name_duplicate_literals(lines: DataFrame) -> DataFrame:
-    """Declare a constant per duplicate literal behind the class anchor and use it.
-
-    Names are cut at 30 characters, so two long literals may share one (as specified).
-    """
+    """Declare a constant per duplicate literal behind the class anchor and use it."""
     anchors = L.class_anchor(lines).where("brace_line IS NOT NULL")
     dup = duplicate_literals(lines).join(anchors, "file_id")
     known = dup.select("file_id", F.col("literal").alias("piece"), F.lit(True).alias("is_literal"), "constant")

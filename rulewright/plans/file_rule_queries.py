@@ -70,10 +70,14 @@ def literal_sql(source):
   SELECT file_id, line_no, n, idx, piece, idx % 2 = 1 AND idx < n - 1 AS lit FROM (
     SELECT file_id, line_no, len(ps) AS n, generate_subscripts(ps, 1) - 1 AS idx, unnest(ps) AS piece
     FROM (SELECT file_id, line_no, string_split(line, '"') AS ps FROM {source} WHERE contains(line, '"')))),
-du AS MATERIALIZED (
-  SELECT file_id, piece AS literal, count(*) AS n, concat('STR_', substr(regexp_replace(upper(piece), '[^A-Z0-9]', '_', 'g'), 1, 30)) AS constant,
+ds AS (
+  SELECT file_id, piece AS literal, count(*) AS n, concat('STR_', substr(regexp_replace(upper(piece), '[^A-Z0-9]', '_', 'g'), 1, 30)) AS short,
     min(line_no * 1048576 + idx) AS place
-  FROM lp WHERE lit AND length(piece) >= 6 GROUP BY 1, 2 HAVING count(*) > 1)"""
+  FROM lp WHERE lit AND length(piece) >= 6 GROUP BY 1, 2 HAVING count(*) > 1),
+du AS MATERIALIZED (
+  SELECT file_id, literal, n, place, concat(short, CASE WHEN count(*) OVER (PARTITION BY file_id, short) > 1
+    THEN '_' || substr(upper(md5(literal)), 1, 16) ELSE '' END) AS constant
+  FROM ds)"""
 
 
 @query("r8_duplicate_literals", with_tables("cl", literal_sql("cl"), body="""

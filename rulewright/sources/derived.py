@@ -84,9 +84,9 @@ SELECT f, CAST(rn + 2 AS INT), {BODY_LINE} FROM body"""
 
 FINDINGS_SQL = f"SELECT {FINDING_COLUMNS} FROM events"
 
-DEP_EDGES_SQL = """SELECT DISTINCT l_partkey AS src, (l_suppkey * 17 + l_linenumber) % 2000 AS dst
+DEP_EDGES_SQL = """SELECT DISTINCT l_partkey AS src, l_suppkey * 20 - l_linenumber AS dst
 FROM lineitem
-WHERE l_orderkey % 20 = 0 AND l_partkey <> (l_suppkey * 17 + l_linenumber) % 2000"""
+WHERE l_partkey <> l_suppkey * 20 - l_linenumber"""
 
 
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,5 +112,4 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dep_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DG: src depends on dst."""
     return (table(spark, sf_dir, "lineitem")
-            .selectExpr("l_orderkey", "l_partkey AS src", "(l_suppkey * 17 + l_linenumber) % 2000 AS dst")
-            .where("l_orderkey % 20 = 0 AND src <> dst").select("src", "dst").distinct())
+            .selectExpr("l_partkey AS src", "l_suppkey * 20 - l_linenumber AS dst").where("src <> dst").distinct())
