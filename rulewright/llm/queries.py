@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rulewright.llm import (decontam, exact_dedup, langid, licenses, lm, packing, secrets, shards, simhash, warc)
+from rulewright.llm import (decontam, exact_dedup, langid, licenses, lm, merkle, packing, secrets, shards, simhash, warc)
 from rulewright.llm.common import fold, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -130,3 +130,43 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lm.score(docs, counts, vocab, lm.train(training, vocab), carry=held_out)
     return found.select(F.col("id").alias("doc_id"), F.col("carry").alias("held_out"), "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"),
                         "base_score", "score")
+
+
+def _merkle_sql() -> str:
+    """Ten levels of eight, enough for 8^10 rows of a language; a tree that is down to one node keeps it."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    field = lambda c: f"coalesce(concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}), '-')"
+    leaf = lambda text: f"sha256(concat({', '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))}))"
+    up = """SELECT t, i // 8 AS i, CAST(ceil(n / 8) AS BIGINT) AS n, CASE WHEN max(n) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {0} GROUP BY t, i // 8, n"""
+    parts = [f"""crc(doc_id, odd) AS (SELECT doc_id, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) FROM (SELECT DISTINCT doc_id FROM documents)),
+d AS (SELECT doc_id, coalesce('=' || lang, '') AS t, {leaf('text')} AS h, CASE WHEN xor(odd, 4294967295) % 3 = 0 THEN {leaf(f"translate(text, '{upper}', '{lower}')")} ELSE {leaf('text')} END AS now
+  FROM documents JOIN crc USING (doc_id)),
+a0 AS MATERIALIZED (SELECT t, row_number() OVER (PARTITION BY t ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY t) AS n, h, doc_id, now FROM d)"""]
+    parts += [f"a{k + 1} AS MATERIALIZED ({up.format(f'a{k}')})" for k in range(10)]
+    parts += ["b0 AS MATERIALIZED (SELECT 1 AS t, row_number() OVER (ORDER BY encode(t)) - 1 AS i, count(*) OVER () AS n, h, t AS lang FROM a10)"]
+    parts += [f"b{k + 1} AS MATERIALIZED ({up.format(f'b{k}')})" for k in range(10)]
+    proof, now, joins = [], "now", []
+    for x, i, t in (("a", "a0.i", "a0.t"), ("b", "b0.i", "1")):
+        for k in range(10):
+            own, run = f"({i} // {8 ** k})", f"{x}r{k}"
+            joins.append(f"LEFT JOIN (SELECT t, i // 8 AS g, array_agg(h ORDER BY i) AS r FROM {x}{k} WHERE n > 1 GROUP BY ALL) {run} ON {run}.t = {t} AND {run}.g = {own} // 8")
+            before, after = (f"coalesce(array_to_string({run}.r[{cut}], ''), '')" for cut in (f"1:CAST({own} % 8 AS INT)", f"CAST({own} % 8 AS INT) + 2:"))
+            proof += [before, after]
+            parts_now = f"f{x}{k}"
+            joins.append(f"CROSS JOIN LATERAL (SELECT CASE WHEN {run}.r IS NULL THEN {now} ELSE sha256(concat({before}, {now}, {after})) END AS {parts_now})")
+            now = parts_now
+        if x == "a":
+            joins.append("JOIN b0 ON b0.lang = a0.t")
+    return (f"WITH {', '.join(parts)} SELECT doc_id, a0.h AS leaf, b0.h AS subroot, (SELECT h FROM b10) AS root, sha256(concat({', '.join(proof)})) AS proof_sha256, "
+            f"{now} AS folded_root, {now} = (SELECT h FROM b10) AS verified FROM a0 {' '.join(joins)}")
+
+
+@query(_merkle_sql())
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(fold("doc_id", 3) == 0, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).otherwise(F.col("text"))
+    found = merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", arity=8, changed={"text": tampered})
+    folded = merkle.fold(F.col("changed_leaf"), F.col("path"))
+    out = found.select(F.col("key").alias("doc_id"), *(merkle.hexed(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")),
+                       merkle.proof(F.col("path")).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
