@@ -39,15 +39,26 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` with a row number column (unique, the same each time for the same files) and that column's name."""
-    name = fresh(df, "row_number_")
-    return df.withColumn(name, F.monotonically_increasing_id()), name
-
-
-def without(df: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
-    """Rows of a ``numbered`` frame whose number is not in ``dropped``."""
-    return df.join(dropped.select(row), row, "left_anti").drop(row)
+def text_digest(text: str = "text") -> Column:
+    """SHA-256 of the text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256))
+
+
+def kept(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those that ``decided(id, digest, stays)`` drops.
+
+    Rows are named by what is in them, key and text digest, and never by a row number: a second reading of ``docs``
+    may deal its rows out differently. Of a name's decisions, ``stays`` holds as often as it says so: if some rows of
+    a name stay and others don't, one row stays. Names that aren't decided on stay. Only the names that drop a row
+    are joined, so what is sent is small where little is dropped, and a name is shared by repeated rows only."""
+    few = settled(decided.groupBy("id", "digest").agg(F.max("stays").alias("some"), F.min("stays").alias("every")).where("NOT every"))
+    digest = fresh(docs, "digest_")
+    marked = docs.withColumn(digest, text_digest(text))
+    same = lambda d: marked[key].eqNullSafe(d["id"]) & (marked[digest] == d["digest"])
+    partly = few.where("some")
+    rest = marked.join(few, same(few), "left_anti").drop(digest)
+    one = marked.join(partly, same(partly), "left_semi").groupBy(key, digest).agg(F.first(F.struct(*docs.columns)).alias("row_"))
+    return rest.unionByName(one.select("row_.*"))
 
 
 def fold(key: str, n: int) -> Column:

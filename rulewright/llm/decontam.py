@@ -177,7 +177,9 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width:
     by_key = found.select("rid", F.explode("keys").alias("k")).join(items.select("iid", F.explode("keys").alias("k")), "k").select("rid", "iid")
     tiny = doc_shingles.join(item_shingles.where("size_class = -1"), "s").select("rid", "iid")
     candidates = by_key.union(tiny).distinct()
-    shared = doc_shingles.join(item_shingles, "s").groupBy("rid", "iid").agg(F.count("*").alias("n_shared"))
-    pairs = candidates.join(shared, ["rid", "iid"]).join(items.select("iid", "item_id", "n"), "iid")
+    # Only candidate pairs are counted: a sentence common to many documents and items makes no pair by itself.
+    shared = settled(candidates).join(doc_shingles, "rid").join(item_shingles.select("iid", "s"), ["iid", "s"]).groupBy("rid", "iid").agg(
+        F.count("*").alias("n_shared"))
+    pairs = shared.join(items.select("iid", "item_id", "n"), "iid")
     pairs = pairs.where(F.col("n_shared") >= threshold * F.col("n")).join(found.select("rid", "id"), "rid")
     return pairs.select("id", "item_id", F.col("n").cast("long").alias("n_shingles"), "n_shared", (F.col("n_shared") / F.col("n")).alias("containment"))

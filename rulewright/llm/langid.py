@@ -121,7 +121,7 @@ def train(docs: DataFrame, label: str = "lang", text: str = "text", dim: int = D
 
 
 def predict(docs: DataFrame, prototypes: DataFrame, key: str = "doc_id", text: str = "text", dim: int = DIM, carry: Column | None = None) -> DataFrame:
-    """``(id, carry, lang_pred, score)`` for every row; only the text is looked at."""
+    """``(id, carry, lang_pred, score)`` for every row; only the text is looked at. ``carry`` may be of any type."""
     id_type = docs.schema[key].dataType.simpleString()
     model = sorted((r["lang"], r["prototype"]) for r in prototypes.collect())
     langs = [m[0] for m in model]
@@ -147,5 +147,6 @@ def predict(docs: DataFrame, prototypes: DataFrame, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "carry", "lang_pred", "score"])
 
     carry = F.lit(False) if carry is None else carry
+    carry_type = docs.select(carry).schema[0].dataType.simpleString()
     return docs.select(F.col(key).alias("id"), carry.alias("carry"), F.col(text).cast("string").alias("text")).mapInArrow(
-        run, f"id {id_type}, carry boolean, lang_pred string, score double")
+        run, f"id {id_type}, carry {carry_type}, lang_pred string, score double")

@@ -237,10 +237,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = at_run.value
-        low = r[:, 0] << 48 | r[:, 1]
+        low = np.cumsum(r[:, 2]) - r[:, 2]  # the place of a run among all pieces in order of (length, rank)
+        lengths, first = np.unique(r[:, 0], return_index=True)
         for b in batches:
             length, rank = b.column(3).to_numpy(), b.column(5).to_numpy()
-            i = np.searchsorted(low, length << 48 | rank, "right") - 1
+            i = np.searchsorted(low, low[first[np.searchsorted(lengths, length)]] + rank, "right") - 1
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(r[i, 3] + rank - r[i, 1]), pa.array(r[i, 4])],
                                              ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 

@@ -60,22 +60,25 @@ def scan(paths: DataFrame, ledger: Ledger, version: str = "base-1", rules: list
     ``(id, blob, spans array<struct<start,kind_no,kind,end>>)`` for every row of ``paths``."""
     spark = paths.sparkSession
     body = F.coalesce(F.col(text), F.lit(""))
-    row = F.monotonically_increasing_id()
-    src = paths.select(F.col(key).alias("id"), row.alias("row"), body.alias("body"))
-    tree = settled(src.select("id", "row", F.unhex(F.sha2("body", 256)).alias("blob")))
-    pairs = tree.groupBy("blob").agg(F.min("row").alias("row")).withColumn("version", F.lit(version))
-    unseen = settled(pairs.join(spark.read.parquet(ledger.scanned), ["blob", "version"], "left_anti"))
-    todo = settled(src.select("row", "body").where(
-        F.concat(*(F.when(F.col("body").rlike(r[1]), "1").otherwise("") for r in rules)) != "").join(unseen, "row").select(
-        "blob", "version", "body"))  # one copy of each unseen blob that has any match; most texts have none
+    blob = F.unhex(F.sha2("body", 256)).alias("blob")
+    src = paths.select(F.col(key).alias("id"), body.alias("body"))
+    tree = settled(src.select("id", blob))
+    asked = settled(tree.select("blob").distinct())
+    unseen = settled(asked.withColumn("version", F.lit(version)).join(spark.read.parquet(ledger.scanned), ["blob", "version"], "left_anti"))
+    # One copy of each blob that has any match (most texts have none), then those that are unseen. The blob is computed
+    # from the text again: a row number would have to come out the same in both readings, which only a file scan does.
+    hits = src.where(F.concat(*(F.when(F.col("body").rlike(r[1]), "1").otherwise("") for r in rules)) != "")
+    one = hits.select(blob, "body").groupBy("blob").agg(F.first("body").alias("body"))
+    todo = settled(one.join(unseen, "blob").select("blob", "version", "body"))
     found = None
     for no, (kind, pattern, group, least) in enumerate(rules):
         one = matches(todo, F.col("body"), no, kind, pattern, group, least)
         found = one if found is None else found.union(one)
     found.write.mode("append").parquet(ledger.found)
     # Findings first, then the mark: a scan that dies in between is repeated, and its findings count once (distinct).
-    unseen.select("blob", "version").write.mode("append").parquet(ledger.scanned)
-    spans = spark.read.parquet(ledger.found).where(F.col("version") == version).distinct().groupBy("blob").agg(
+    unseen.write.mode("append").parquet(ledger.scanned)
+    of = spark.read.parquet(ledger.found).where(F.col("version") == version).join(asked, "blob", "left_semi")
+    spans = of.distinct().groupBy("blob").agg(
         F.sort_array(F.collect_list(F.struct("start", "kind_no", "kind", "end"))).alias("spans"))
     return tree.join(settled(spans), "blob", "left").select("id", "blob", "spans")
 

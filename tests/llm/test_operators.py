@@ -14,6 +14,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -455,3 +456,57 @@ def test_stages_on_awkward_rows(spark, docs, tmp_path):
         part = spark.read.parquet(kept)
         if name == "exact_dedup":
             assert part.groupBy("text").count().where("count > 1").isEmpty() and part.where("doc_id = 3").count() == 1
+
+
+def shuffled(df):
+    """Frames whose rows come out in another order or place each time they are read."""
+    other = df.sparkSession.createDataFrame([("s",), (None,)], "source string")
+    return [df.repartition(8), df.repartition(3, F.rand()), df.join(F.broadcast(other), df.source.eqNullSafe(other.source)).select(df["*"])]
+
+
+def test_secrets_do_not_depend_on_the_layout(spark, docs):
+    body = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id").cast("string"), F.lit(" password = hunter2hunter2"))).otherwise(F.col("text")))
+    found = lambda df: sorted(map(repr, secrets.scan(df, secrets.create_ledger(spark)).select("id", "blob", secrets.joined(F.col("spans"))).collect()))
+    want = found(body)
+    assert any("assign" in r for r in want)
+    for x in shuffled(body):
+        assert found(x) == want
+
+
+def test_stages_do_not_depend_on_the_layout(spark, docs):
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        want = sorted((repr((r.doc_id, r.text)) for r in stage(spark, docs, SF).collect()))
+        for x in shuffled(docs)[:2]:
+            assert sorted((repr((r.doc_id, r.text)) for r in stage(spark, x, SF).collect())) == want, name
+
+
+def test_loads_name_what_they_bring(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "doc_id long, text string")
+    for second in ([(1, "a"), (3, "c")], [(3, "c"), (1, "a")]):
+        index = exact_dedup.create_index(spark)
+        exact_dedup.dedup(rows((1, "a"), (2, "b")), index).collect()
+        got = {r.id: r.kept for r in exact_dedup.dedup(rows(*second), index).collect()}
+        assert got == {1: False, 3: True}
+
+
+def test_packing_beyond_short_sequences(spark):
+    tok = public_tokenizers.path(TOKENIZER)
+    df = spark.createDataFrame([(i, " ".join(["word"] * n)) for i, n in enumerate([40_000, 33_000, 32_768, 32_767, 5, 5, 70_000, 1, 90_000])], "doc_id long, text string")
+    for capacity in (32_768, 131_072):
+        got = packing.pack(df, tok, capacity=capacity).collect()
+        spans = defaultdict(list)
+        for r in got:
+            spans[r.sequence_id].append((r.offset, r.length))
+        for s in spans.values():
+            at = 0
+            for offset, length in sorted(s):
+                assert offset == at
+                at += length
+            assert at <= capacity
+
+
+def test_common_sentences_make_no_pairs(spark):
+    common = "answer the following question as well as you can"
+    items = spark.createDataFrame([(i, f"{common} {words(30, 100 + i)}") for i in range(40)], "item_id long, text string")
+    many = spark.createDataFrame([(i, f"{words(50, 5000 + i)} {common}") for i in range(60)] + [(99, items.first().text)], "doc_id long, text string")
+    assert [(r.id, r.item_id, r.containment) for r in decontam.contained(many, items).collect()] == [(99, 0, 1.0)]
