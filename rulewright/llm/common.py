@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SHORT_LIST = 500_000  # names of some 50 bytes each that are broadcast at most
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -55,7 +56,9 @@ def kept(docs: DataFrame, decided: DataFrame, key: str = "doc_id", text: str = "
     digest = fresh(docs, "digest_")
     marked = docs.withColumn(digest, text_digest(text))
     same = lambda d: marked[key].eqNullSafe(d["id"]) & (marked[digest] == d["digest"])
-    partly = few.where("some")
+    partly = settled(few.where("some"))
+    # A short list goes to every task, a longer one is joined by name, which sends the texts as well.
+    few, partly = (F.broadcast(x) if x.count() <= SHORT_LIST else x for x in (few, partly))
     rest = marked.join(few, same(few), "left_anti").drop(digest)
     one = marked.join(partly, same(partly), "left_semi").groupBy(key, digest).agg(F.first(F.struct(*docs.columns)).alias("row_"))
     return rest.unionByName(one.select("row_.*"))
