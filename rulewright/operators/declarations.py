@@ -1,9 +1,9 @@
-"""Declarations read from the line table by pattern.
+"""Declarations.
 
-There is no parser: a declaration is one line, found by a regex, and its owner is the block that
-encloses it (:func:`rulewright.operators.lines.structure`, here ``st``). Signatures over several
-lines and generic types with blanks are not found, and a malformed file yields fewer rows, never an
-error.
+Types, methods and fields are read from statements (:func:`rulewright.operators.code.statements`, here
+``stmts``) by pattern: a statement is one line of text whatever its layout in the file, comments and the
+insides of literals are blank, and its owner is the block that encloses it. There is no parser, and a
+malformed file yields fewer rows, never an error.
 """
 
 from __future__ import annotations
@@ -12,25 +12,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions.fixed_values import COMMON_TYPES, PRIMITIVE_TYPES
-from rulewright.functions.text import has, starts, strip
-from rulewright.operators.scan import Upcoming, scan
+from rulewright.functions.text import has, strip
+from rulewright.operators.code import NOTE, code_of, code_text
 
 PACKAGE = r"^\s*package\s+([A-Za-z0-9_.]+)\s*;"
 IMPORT = r"^\s*import\s+(static\s+)?([A-Za-z0-9_.]+(?:\.\*)?)\s*;"
 ANNOTATION = r"@([A-Za-z0-9_.]+)"
-ANNOTATION_LINE = r"^\s*@[A-Za-z0-9_.]+(?:\([^)]*\))?\s*$"
-TYPE = (r"^\s*(?:@[A-Za-z0-9_.]+(?:\([^)]*\))?\s+)*((?:(?:public|private|protected|abstract|final|static)\s+)*)"
-        r"(class|interface|enum)\s+([A-Za-z_][A-Za-z0-9_]*)")
-EXTENDS = r"\bextends\s+([^{]+)"
-METHOD = (r"^\s*((?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*)"
-          r"((?:[A-Za-z_][A-Za-z0-9_.<>,?]*(?:\[\])*\s+)?)([A-Za-z_][A-Za-z0-9_]*)\s*\(([^()]*)\)\s*"
-          r"(?:throws\s+[^{;]+)?([{;])")
-VARIABLE = (r"^\s*((?:(?:public|private|protected|static|final|transient|volatile)\s+)*)"
-            r"([A-Za-z_][A-Za-z0-9_.<>,?]*(?:\[\])*)\s+")
+NOTES = rf"^(?:\) ?)?(?:{NOTE} ?)*"
+TYPE = (r"^((?:(?:public|private|protected|abstract|final|static|strictfp|sealed) )*)"
+        r"(class|interface|enum) ([A-Za-z_][A-Za-z0-9_]*)")
+TYPE_LINE = (rf"(?:^|[;{{}}])\s*(?:{NOTE}\s*)*(?:(?:public|private|protected|abstract|final|static|strictfp|sealed)\s+)*"
+             r"(?:class|interface|enum)\s+([A-Za-z_][A-Za-z0-9_]*)")
+EXTENDS = r"\bextends ([^{]+)$"
+GENERIC = r"[A-Za-z_][A-Za-z0-9_.]*(?: ?<[^()=;]*>)?(?: ?\[ ?\])*"
+TYPE_PARAMETERS = r"<(?:[^<>()=;]|<(?:[^<>()=;]|<[^<>()=;]*>)*+>)*+>"
+METHOD = (r"^((?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp) )*)"
+          rf"({TYPE_PARAMETERS} ?)?((?:{GENERIC} )?)([A-Za-z_][A-Za-z0-9_]*) ?\((.*)\)(?: ?\[ ?\])*(?: throws [^()]*)?(?: default .*)?$")
 _ONE = r"[A-Za-z_][A-Za-z0-9_]*"
-SEVERAL = VARIABLE + rf"({_ONE}(?:\s*=\s*[^,;]+)?(?:\s*,\s*{_ONE}(?:\s*=\s*[^,;]+)?)*)\s*;"
-SINGLE = VARIABLE + rf"({_ONE}\s*=\s*[^;]*);"
-ENUM_CONSTANTS = r"^\s*([A-Z][A-Z0-9_]*(?:\s*,\s*[A-Z][A-Z0-9_]*)*)\s*[,;]?\s*$"
+VARIABLE = (r"^((?:(?:public|private|protected|static|final|transient|volatile) )*)"
+            rf"({GENERIC}) ({_ONE}(?: ?\[ ?\])*(?: ?[=,].*)?)$")
+DECLARATOR = rf"^\s*{_ONE}(?: ?\[ ?\])*\s*(?:=.*)?$"
+ARRAY_START = r"= ?(?:new [^=]*\] ?)?$"
+ENUM_CONSTANTS = r"^\s*[A-Z][A-Z0-9_]*(?:\s*\([^()]*\))?(?:\s*,\s*[A-Z][A-Z0-9_]*(?:\s*\([^()]*\))?)*\s*,?\s*$"
+ENUM_CONSTANT = r"(?:^|,)\s*([A-Z][A-Z0-9_]*)"
+DECLARED = (r"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
+            rf"(?:{TYPE_PARAMETERS}\s*)?"
+            r"([A-Za-z_][A-Za-z0-9_.]*)(?:\s*<[^()=;]*>)?(?:\s*\[\s*\])*\s+([A-Za-z_][A-Za-z0-9_]*)\s*\(")
 CALL_NAME = r"((?:[A-Za-z0-9_]+\.)?[A-Za-z0-9_]*)\("
 CALL_ARGS = r"\(([^()]*)"
 
@@ -56,12 +63,17 @@ def extract_imports(lines: DataFrame) -> DataFrame:
 
 
 # D2 ---------------------------------------------------------------------------------------------
+def head(c: Column) -> Column:
+    """A statement without the annotations in front."""
+    return F.regexp_replace(c, NOTES, "")
+
+
 def type_header(c: Column) -> Column:
-    return c.rlike(TYPE)
+    return head(c).rlike(TYPE)
 
 
 def type_name(c: Column) -> Column:
-    return F.regexp_extract(c, TYPE, 3)
+    return F.regexp_extract(head(c), TYPE, 3)
 
 
 def _qualified(name: Column) -> Column:
@@ -70,42 +82,53 @@ def _qualified(name: Column) -> Column:
 
 
 def type_names(lines: DataFrame) -> DataFrame:
-    """D2 without extents: which file declares which class. Needs no block structure."""
-    heads = lines.where(type_header(F.col("line"))).select("file_id", "line_no", type_name(F.col("line")).alias("name"))
+    """D2 without extents: which file declares which class. Needs no statements: only lines with a header
+    or a comment mark are shuffled."""
+    heads = code_of(lines, F.col("line").rlike(r"\b(?:class|interface|enum)\b")).select(
+        "file_id", "line_no", F.explode(F.regexp_extract_all("code", F.lit(TYPE_LINE), F.lit(1))).alias("name"))
     return heads.join(extract_packages(lines), "file_id", "left").select(
         "file_id", "line_no", "name", _qualified(F.col("name")).alias("qualified_name"))
 
 
-def extract_types(st: DataFrame, lines: DataFrame) -> DataFrame:
-    """Classes, interfaces and enums with the annotations on or directly above their line."""
-    line = F.col("line")
-    heads = st.where(type_header(line))
-    note = line.rlike(ANNOTATION_LINE)
-    owners = scan(lines, ["file_id"], ["line_no"], _owner=Upcoming(F.when(~note, F.col("line_no"))))
-    above = (owners.where(note).groupBy("file_id", F.col("_owner").alias("line_no"))
-             .agg(F.sort_array(F.collect_list(F.struct(F.col("line_no").alias("n"), F.regexp_extract("line", ANNOTATION, 1).alias("a"))))
-                  .alias("_above")))
-    kind = F.regexp_extract("line", TYPE, 2)
-    mods = F.regexp_extract("line", TYPE, 1)
-    parents = F.transform(F.split(strip(F.regexp_extract("line", EXTENDS, 1)), r"\s*,\s*"), lambda x: x)
-    inline = F.regexp_extract_all(F.regexp_extract("line", r"^(.*?)(?:class|interface|enum)\s", 1), F.lit(ANNOTATION), F.lit(1))
+def extract_types(stmts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Classes, interfaces and enums with their annotations."""
+    text = head(F.col("text"))
+    kind, mods = F.regexp_extract(text, TYPE, 2), F.regexp_extract(text, TYPE, 1)
+    parents = F.transform(top_level(F.regexp_extract(text, EXTENDS, 1)), strip)
+    notes = F.regexp_extract_all(F.regexp_extract("text", NOTES, 0), F.lit(ANNOTATION), F.lit(1))
     empty = F.array().cast("array<string>")
-    package = F.coalesce(F.col("package"), F.lit(""))
-    return (heads.join(above, ["file_id", "line_no"], "left").join(extract_packages(lines), "file_id", "left").select(
-        "file_id", type_name(line).alias("name"), _qualified(type_name(line)).alias("qualified_name"), package.alias("package"),
+    package, name = F.coalesce(F.col("package"), F.lit("")), F.regexp_extract(text, TYPE, 3)
+    return stmts.where((F.col("term") == "{") & type_header(F.col("text"))).join(extract_packages(lines), "file_id", "left").select(
+        "file_id", name.alias("name"), _qualified(name).alias("qualified_name"), package.alias("package"),
         kind.alias("kind"), ((kind == "interface") | has(mods, "abstract")).alias("is_abstract"),
-        F.when((kind == "interface") & line.rlike(EXTENDS), parents).otherwise(empty).alias("interfaces"),
-        F.concat(F.coalesce(F.transform("_above", lambda x: x["a"]), empty), inline).alias("annotations"),
-        F.col("line_no").alias("start_line"), "end_line"))
+        F.when((kind == "interface") & text.rlike(EXTENDS), parents).otherwise(empty).alias("interfaces"),
+        notes.alias("annotations"), "start_line", "end_line")
 
 
 # D3 ---------------------------------------------------------------------------------------------
+def _surplus(c: Column, opens: str, closes: str) -> Column:
+    return F.length(F.translate(c, closes, "")) - F.length(F.translate(c, opens, ""))
+
+
+def top_level(text: Column, opens: str = "(<[{", closes: str = ")>]}", begins: str | None = None) -> Column:
+    """A list cut at the commas outside all brackets; a piece that doesn't look as ``begins`` says goes on the one before."""
+    def add(acc, piece):
+        fresh = acc["depth"] <= 0
+        if begins is not None:
+            fresh = fresh & (piece.rlike(begins) | (F.size(acc["list"]) == 0))
+        last = F.concat_ws(",", F.try_element_at(acc["list"], F.lit(-1)), piece)
+        depth = F.when(fresh, 0).otherwise(acc["depth"]) + _surplus(piece, opens, closes)
+        return F.struct(F.when(fresh, F.array_append(acc["list"], piece)).otherwise(
+            F.array_append(F.slice(acc["list"], F.lit(1), F.greatest(F.size(acc["list"]) - 1, F.lit(0))), last)).alias("list"), depth.alias("depth"))
+
+    start = F.struct(F.array().cast("array<string>").alias("list"), F.lit(0).alias("depth"))
+    return F.filter(F.aggregate(F.split(text, ",", -1), start, add, lambda acc: acc["list"]), lambda p: strip(p) != "")
+
+
 def parameter_part(i: int, params: Column) -> Column:
     """Names (1) or types (0) of a parameter list text."""
-    items = F.filter(F.split(strip(params), r"\s*,\s*"), lambda p: p != "")
-    clean = F.transform(items, lambda p: F.regexp_replace(p, r"^(?:final\s+|@[A-Za-z0-9_.]+\s+)+", ""))
-    pattern = r"^(.*?)\s*([A-Za-z_][A-Za-z0-9_]*)$"
-    return F.transform(clean, lambda p: F.regexp_extract(p, pattern, i + 1))
+    clean = F.transform(top_level(params), lambda p: F.regexp_replace(strip(p), rf"^(?:final |{NOTE} ?)+", ""))
+    return F.transform(clean, lambda p: F.regexp_extract(p, r"^(.*?)\s*([A-Za-z_][A-Za-z0-9_]*)$", i + 1))
 
 
 def _owner() -> Column:
@@ -114,26 +137,23 @@ def _owner() -> Column:
 
 
 def method_header() -> Column:
-    """Whether a row of the block structure is a method or constructor header."""
-    mods, ret = F.regexp_extract("line", METHOD, 1), strip(F.regexp_extract("line", METHOD, 2))
-    name = F.regexp_extract("line", METHOD, 3)
-    return (F.col("line").rlike(METHOD) & ~name.isin(NOT_A_NAME) & ~ret.isin(NOT_A_TYPE)
+    """Whether a statement is a method or constructor header."""
+    text = head(F.col("text"))
+    mods, ret, name = F.regexp_extract(text, METHOD, 1), strip(F.regexp_extract(text, METHOD, 3)), F.regexp_extract(text, METHOD, 4)
+    return (F.coalesce(F.col("term").isin("{", ";"), F.lit(False)) & F.contains(F.col("text"), F.lit("(")) & text.rlike(METHOD) & ~name.isin(NOT_A_NAME) & ~ret.isin(NOT_A_TYPE)
             & ((ret != "") | (name == _owner())) & ((mods != "") | (_owner() != "")))
 
 
-def extract_methods(st: DataFrame) -> DataFrame:
-    """D3: methods and constructors. A constructor is ``<init>Name(types)`` and returns void.
-
-    A header counts when it has a modifier or lies directly in a type; ``class_name`` is the
-    enclosing type, empty when the header lies in some other block. A method without a matching
-    closing brace has no ``end_line``.
-    """
-    part = {n: F.regexp_extract("line", METHOD, i) for i, n in enumerate(["mods", "ret", "name", "params", "open"], 1)}
-    rows = st.where(method_header()).select(
-        "file_id", "line_no", "end_line", _owner().alias("class_name"), *[v.alias(k) for k, v in part.items()])
+def method_rows(stmts: DataFrame) -> DataFrame:
+    """The columns of :func:`extract_methods`, with ``stmt_no``, ``end_no``, the line of the opening brace
+    (``body_line``) and whether the body is ``empty``."""
+    text = head(F.col("text"))
+    part = {n: F.regexp_extract(text, METHOD, i) for i, n in ((1, "mods"), (3, "ret"), (4, "name"), (5, "params"))}
+    rows = stmts.where(method_header()).select("file_id", "stmt_no", "start_line", "line_no", "term", "end_line", "end_no", "empty",
+                                               _owner().alias("class_name"), *[v.alias(k) for k, v in part.items()])
     rows = rows.withColumn("ret", strip(F.col("ret")))
-    ctor = (F.col("ret") == "") & (F.col("name") == F.col("class_name"))
-    types = parameter_part(0, F.col("params"))
+    ctor, types = (F.col("ret") == "") & (F.col("name") == F.col("class_name")), parameter_part(0, F.col("params"))
+    closed = F.col("term") == ";"
     return rows.select(
         "file_id", "class_name",
         F.when(ctor, F.concat(F.lit("<init>"), F.col("name"), F.lit("("), F.array_join(types, ","), F.lit(")")))
@@ -141,8 +161,18 @@ def extract_methods(st: DataFrame) -> DataFrame:
         parameter_part(1, F.col("params")).alias("parameter_names"), types.alias("parameter_types"),
         F.when(ctor, "void").otherwise(F.col("ret")).alias("return_type"),
         F.filter(F.split(F.lower(strip(F.col("mods"))), r"\s+"), lambda x: x != "").alias("modifiers"),
-        F.col("line_no").alias("start_line"),
-        F.when(F.col("open") == ";", F.col("line_no")).otherwise(F.col("end_line")).alias("end_line"))
+        "start_line", F.when(closed, F.col("line_no")).otherwise(F.col("end_line")).alias("end_line"),
+        "stmt_no", F.when(closed, F.col("stmt_no")).otherwise(F.col("end_no")).alias("end_no"), F.col("line_no").alias("body_line"), "empty", "term")
+
+
+def extract_methods(stmts: DataFrame) -> DataFrame:
+    """D3: methods and constructors. A constructor is ``<init>Name(types)`` and returns void.
+
+    A header counts when it has a modifier or lies directly in a type; ``class_name`` is the
+    enclosing type, empty when the header lies in some other block. A method without a matching
+    closing brace has no ``end_line``.
+    """
+    return method_rows(stmts).drop("stmt_no", "end_no", "body_line", "empty", "term")
 
 
 def method_key(name: Column, types: Column) -> Column:
@@ -152,25 +182,25 @@ def method_key(name: Column, types: Column) -> Column:
 
 # D4 ---------------------------------------------------------------------------------------------
 def variable_rows(rows: DataFrame, *keep: str) -> DataFrame:
-    """One row per declarator of every variable declaration among ``rows``."""
-    line = F.col("line")
-    several = line.rlike(SEVERAL)
-    text = F.when(several, F.regexp_extract("line", SEVERAL, 3)).otherwise(F.regexp_extract("line", SINGLE, 3))
-    parts = F.when(several, F.split(text, r"\s*,\s*")).otherwise(F.array(text))
-    kind = F.regexp_extract("line", VARIABLE, 2)
-    return (rows.where((several | line.rlike(SINGLE)) & ~kind.isin(NOT_A_TYPE))
-            .select("file_id", *keep, "line_no", kind.alias("type_name"), F.explode(parts).alias("_d"))
+    """One row per declarator of every variable declaration among statements."""
+    text, kind = head(F.col("text")), F.regexp_extract(head(F.col("text")), VARIABLE, 2)
+    ends = F.coalesce((F.col("term") == ";") | ((F.col("term") == "{") & F.col("text").rlike(ARRAY_START)), F.lit(False))
+    parts = top_level(F.regexp_extract(text, VARIABLE, 3), "([{", ")]}", DECLARATOR)
+    return (rows.where(ends & text.rlike(VARIABLE) & ~kind.isin(NOT_A_TYPE))
+            .select("file_id", *keep, "start_line", kind.alias("type_name"), F.explode(parts).alias("_d"))
             .select("file_id", *keep, F.regexp_extract("_d", rf"^\s*({_ONE})", 1).alias("name"), "type_name",
-                    has(F.col("_d"), "=").alias("has_initializer"), F.col("line_no").alias("declaration_line")))
+                    has(F.col("_d"), "=").alias("has_initializer"), F.col("start_line").alias("declaration_line")))
 
 
-def extract_fields(st: DataFrame) -> DataFrame:
+def extract_fields(stmts: DataFrame) -> DataFrame:
     """Fields (declarations directly in a type) and enum constants, one row per name."""
     parent = F.col("parent_text")
-    inside = st.where(type_header(parent)).withColumn("class_name", type_name(parent))
-    enums = inside.where((F.regexp_extract("parent_text", TYPE, 2) == "enum") & F.col("line").rlike(ENUM_CONSTANTS))
-    constants = enums.select("file_id", "class_name", "line_no",
-                             F.explode(F.split(F.regexp_extract("line", ENUM_CONSTANTS, 1), r"\s*,\s*")).alias("name"))
+    inside = stmts.where(type_header(parent)).withColumn("class_name", type_name(parent))
+    part = F.col("_p.text")
+    constants = (inside.where(F.regexp_extract(head(parent), TYPE, 2) == "enum")
+                 .select("file_id", "class_name", F.explode("parts").alias("_p")).where(part.rlike(ENUM_CONSTANTS))
+                 .select("file_id", "class_name", F.col("_p.line_no").alias("line_no"),
+                         F.explode(F.regexp_extract_all(F.regexp_replace(part, r"\([^()]*\)", ""), F.lit(ENUM_CONSTANT), F.lit(1))).alias("name")))
     return variable_rows(inside, "class_name").withColumn("is_enum_constant", F.lit(False)).unionByName(constants.select(
         "file_id", "class_name", "name", F.col("class_name").alias("type_name"), F.lit(True).alias("has_initializer"),
         F.col("line_no").alias("declaration_line"), F.lit(True).alias("is_enum_constant")))
@@ -178,38 +208,51 @@ def extract_fields(st: DataFrame) -> DataFrame:
 
 # D5 ---------------------------------------------------------------------------------------------
 def extract_calls(lines: DataFrame) -> DataFrame:
-    """One row per call; the arguments are the text up to the next bracket. Map-only."""
-    line = F.col("line")
-    pairs = F.arrays_zip(F.regexp_extract_all("line", F.lit(CALL_NAME), F.lit(1)).alias("t"),
-                         F.regexp_extract_all("line", F.lit(CALL_ARGS), F.lit(1)).alias("a"))
+    """One row per call in the code; the arguments are the line's text up to the next bracket, cut at
+    the commas of the code."""
+    code = F.col("code")
+    pairs = F.arrays_zip(F.regexp_extract_all(code, F.lit(CALL_NAME), F.lit(1)).alias("t"),
+                         F.regexp_extract_all(code, F.lit(CALL_ARGS), F.lit(1)).alias("a"), F.slice(F.split(code, r"\([^()]*", -1), 1, 1 << 30).alias("g"))
     target = F.col("_c.t")
     name = F.element_at(F.split(target, r"\."), -1)
-    declared = line.rlike(METHOD) & ~strip(F.regexp_extract("line", METHOD, 2)).isin("", *NOT_A_TYPE)
-    own = F.coalesce(declared & (F.regexp_extract("line", METHOD, 3) == name), F.lit(False))
-    return (lines.select("file_id", "line_no", "line", F.posexplode(pairs).alias("call_no", "_c"))
+    declared = code.rlike(DECLARED) & ~F.regexp_extract(code, DECLARED, 1).isin(NOT_A_TYPE)
+    own = F.coalesce(declared & (F.regexp_extract(code, DECLARED, 2) == name), F.lit(False))
+    # Where the arguments stand: behind what comes before the bracket. Literals are blank in the code, so they are cut out of the line.
+    upto = F.aggregate(F.slice("_all", F.lit(1), F.col("call_no")), F.lit(0), lambda n, c: n + F.length(c["g"]) + F.length(c["a"]) + 1) + F.length("_c.g") + 2
+    raw = F.substring(F.col("line"), upto, F.length("_c.a"))
+    pieces = F.split(F.col("_c.a"), ",", -1)
+    at = lambda i: F.aggregate(F.slice(pieces, F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p) + 1)
+    args = F.transform(pieces, lambda p, i: strip(F.substring(raw, at(i) + 1, F.length(p))))
+    return (code_text(lines).where(has(code, "(")).select("file_id", "line_no", "line", "code", pairs.alias("_all"))
+            .select("*", F.posexplode("_all").alias("call_no", "_c"))
             .where(name.rlike("^[A-Za-z_]") & ~name.isin(NOT_A_NAME) & ~own)
             .select("file_id", "line_no", "call_no", name.alias("method_name"),
                     F.when(has(target, "."), F.element_at(F.split(target, r"\."), 1)).alias("receiver"),
-                    F.filter(F.split(strip(F.col("_c.a")), r"\s*,\s*"), lambda x: x != "").alias("arguments")))
+                    F.filter(args, lambda x: x != "").alias("arguments")))
 
 
 # D11 --------------------------------------------------------------------------------------------
 def find_class(types: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Look up names (file_id, package, name); a simple name is taken from the asker's package."""
+    """Look up names (file_id, package, name); a simple name is taken from the asker's package.
+
+    Every name gets one answer: of several files that declare the class the one with the smallest id, and
+    nulls where none does. The lookup side has one row per name."""
     name, package = F.col("name"), F.coalesce("package", F.lit(""))
     full = F.when(has(name, ".") | (package == ""), name).otherwise(F.concat_ws(".", package, name))
-    target = types.select(F.col("qualified_name").alias("_q"), F.col("file_id").alias("found_file"),
-                          F.col("kind").alias("found_kind"), F.col("start_line").alias("found_line"))
-    return wanted.withColumn("_q", full).join(target, "_q").withColumnRenamed("_q", "qualified_name")
+    first = F.min(F.struct(F.col("file_id").alias("found_file"), F.col("start_line").alias("found_line"), F.col("kind").alias("found_kind")))
+    target = types.groupBy("qualified_name").agg(first.alias("_f"))
+    return wanted.withColumn("qualified_name", full).join(target, "qualified_name", "left").select(
+        "qualified_name", *wanted.columns, "_f.found_file", "_f.found_kind", "_f.found_line")
 
 
 def find_method(methods: DataFrame, types: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Look up (file_id, package, name, method_name) - a class name, then a method of it."""
-    hit = find_class(types, wanted)
-    target = methods.select(F.col("file_id").alias("found_file"), F.element_at(F.split("class_name", r"\."), -1).alias("_c"),
-                            F.col("name").alias("method_name"), "return_type", F.col("start_line").alias("method_line"))
-    hit = hit.withColumn("_c", F.element_at(F.split("qualified_name", r"\."), -1))
-    return hit.join(target, ["found_file", "_c", "method_name"]).drop("_c")
+    """Look up (file_id, package, name, method_name) - a class name, then a method of it. Every name gets
+    one answer: of overloads the first in the file, nulls where the class or the method isn't known."""
+    hit = find_class(types, wanted).withColumn("_c", F.element_at(F.split("qualified_name", r"\."), -1))
+    target = methods.groupBy(F.col("file_id").alias("found_file"), F.element_at(F.split("class_name", r"\."), -1).alias("_c"),
+                             F.col("name").alias("method_name")).agg(F.min(F.struct("start_line", "return_type")).alias("_m"))
+    return hit.join(target, ["found_file", "_c", "method_name"], "left").select(
+        *hit.drop("_c").columns, F.col("_m.return_type").alias("return_type"), F.col("_m.start_line").alias("method_line"))
 
 
 def find_variables(locals_: DataFrame, methods: DataFrame) -> DataFrame:

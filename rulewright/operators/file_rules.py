@@ -253,31 +253,24 @@ def interior_counts(st: DataFrame, start: Column, **conds: Column) -> DataFrame:
         "file_id", "line_no", "line", "end_line", *[(F.col(f"_e_{k}") - F.col(k)).alias(k) for k in conds])
 
 
-def _method_open() -> Column:
-    return D.method_header() & (F.regexp_extract("line", D.METHOD, 5) == "{")
+def empty_methods(lines: DataFrame, stmts: DataFrame) -> DataFrame:
+    """Methods with nothing but blanks and comments between their braces, by the line of the opening brace."""
+    found = D.method_rows(stmts).where("empty AND term = '{'").select("file_id", F.col("body_line").alias("line_no"), "end_line")
+    return found.join(lines, ["file_id", "line_no"]).select("file_id", "line_no", "line", "end_line")
 
 
-def empty_methods(st: DataFrame) -> DataFrame:
-    """Methods with nothing but blank and comment lines between their braces."""
-    line, text = F.col("line"), strip(F.col("line"))
-    solid = (text != "") & ~starts(text, "//", "/*", "*")
-    long = interior_counts(st, _method_open(), n=solid).where("n = 0").select("file_id", "line_no", "line", "end_line")
-    short = st.where(_method_open() & (F.col("end_line") == F.col("line_no")) & line.rlike(r"\{\s*\}\s*$"))
-    return long.unionByName(short.select("file_id", "line_no", "line", "end_line"))
-
-
-def explain_empty_methods(lines: DataFrame, st: DataFrame, message: str = "Empty method") -> DataFrame:
+def explain_empty_methods(lines: DataFrame, stmts: DataFrame, message: str = "Empty method") -> DataFrame:
     """Put a comment into empty methods; of a message, the part before ``(`` counts."""
     note = F.concat(indent(F.col("line")), F.lit(f"    // Intentionally empty - {message.split('(')[0].strip()}"))
-    return L.insert_after(lines, empty_methods(st).where("end_line > line_no").select(
+    return L.insert_after(lines, empty_methods(lines, stmts).where("end_line > line_no").select(
         "file_id", "line_no", F.lit(1).alias("sub"), note.alias("line")))
 
 
 def swallowed_exceptions(st: DataFrame) -> DataFrame:
     """Catch blocks with a body that neither logs nor throws."""
-    line = F.col("line")
-    handled = has(F.lower(line), "log") | has(line, "throw")
-    inside = interior_counts(st, line.rlike(CATCH), n_body=strip(line) != "", n_handled=handled)
+    line, code = F.col("line"), F.col("code")
+    handled = has(F.lower(code), "log") | has(code, "throw")
+    inside = interior_counts(st, code.rlike(CATCH), n_body=strip(line) != "", n_handled=handled)
     return inside.where("n_body > 0 AND n_handled = 0").select(
         "file_id", "line_no", "end_line", "line", F.regexp_extract("line", CATCH, 1).alias("exception"))
 
@@ -323,7 +316,7 @@ def freeze_exception_fields(st: DataFrame) -> DataFrame:
     Header and opening brace are on one line; a class that never closes runs to the end of the file.
     """
     line, text = F.col("line"), strip(F.col("line"))
-    head = has(line, "class ") & has(line, "Exception", "Error") & has(line, "{")
+    head = has(F.col("code"), "class ") & has(F.col("code"), "Exception", "Error") & has(F.col("code"), "{")
     seen = scan(st, ["file_id"], ["line_no"], _h=Last(F.when(head, F.struct("line_no", "end_line")), current=False))
     inside = F.col("_h").isNotNull() & F.coalesce(F.col("line_no") <= F.col("_h.end_line"), F.lit(True))
     field = (has(line, ";") & has(line, "private", "protected", "public") & ~has(line, "final ")

@@ -7,11 +7,11 @@ the product of its users and its members. Walking both halves gives the same dep
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.sources.scratch import ensure_checkpoint_dir
+
 
 def class_map(types: DataFrame) -> DataFrame:
     """The file of each class; of several, the one with the largest id."""
@@ -88,15 +88,6 @@ def degrees(edges: DataFrame) -> DataFrame:
 COMPACT_ROUNDS = 16  # the reached set is written anew this often, so that its plan stays short
 
 
-def ensure_checkpoint_dir(df: DataFrame) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a session without one gets a folder below its warehouse, which
-    executors share."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or
-                                            f"{spark.conf.get('spark.sql.warehouse.dir')}/rulewright-{uuid.uuid4().hex}")
-
-
 def impact(edges: DataFrame, seeds: DataFrame, package_hops: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Everything that a change of each seed file reaches, as (seed, file_id, kind).
 
@@ -105,7 +96,7 @@ def impact(edges: DataFrame, seeds: DataFrame, package_hops: tuple[DataFrame, Da
     round's files, minus what is already known, checkpointed each round, until a round finds
     nothing. ``package_hops`` = (uses, members) walks wildcard imports as well.
     """
-    ensure_checkpoint_dir(edges)
+    ensure_checkpoint_dir(edges.sparkSession)
     back = edges.select(F.col("dst").alias("file_id"), F.col("src").alias("next"))
     if package_hops:
         uses, members = (half.checkpoint() for half in package_hops)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rulewright.functions.text import has, occurrences, starts, strip
 from rulewright.operators import scan as _scan
-from rulewright.operators.scan import Last, Total, Upcoming, line_block, scan
+from rulewright.operators.code import entered, line_blocks
+from rulewright.operators.scan import Blocks, Last, Total, Upcoming, line_block, scan
 
 LINE_COLS = ["file_id", "line_no", "line"]
 
@@ -77,17 +78,22 @@ def comment_state(lines: DataFrame, opener_first: bool = False, block_size: int
     return out.withColumn("in_comment", F.coalesce(F.col("_prev") == "open", F.lit(False))).drop("_prev")
 
 
+def _depths(lines: DataFrame, block_size: int | None) -> Blocks:
+    code = F.col("code")
+    opens, closes = occurrences(code, "{"), occurrences(code, "}")
+    lead = occurrences(F.regexp_extract(code, r"^[^{]*", 0), "}")
+    out = entered(line_blocks(lines, block_size)).scan(["line_no"], depth_after=Total((opens - closes).cast("bigint")))
+    before = F.col("depth_after") - opens + closes
+    return out.map(lambda rows: rows.withColumns({"depth_before": before, "dip": F.least(before - lead, F.col("depth_after"))}).drop("in_comment"))
+
+
 def block_depth(lines: DataFrame, block_size: int | None = None) -> DataFrame:
-    """Brace depth before and after each line, and the lowest depth reached on it (``dip``).
+    """``code`` (:mod:`rulewright.operators.code`), brace depth of the code before and after each line,
+    and the lowest depth reached on it (``dip``).
 
     ``} else {`` leaves the depth unchanged but dips by one, i.e. it closes one block and opens one.
     """
-    line = F.col("line")
-    opens, closes = occurrences(line, "{"), occurrences(line, "}")
-    lead = occurrences(F.regexp_extract(line, r"^[^{]*", 0), "}")
-    out = scan(lines, ["file_id"], ["line_no"], block_size, depth_after=Total((opens - closes).cast("bigint")))
-    return (out.withColumn("depth_before", F.col("depth_after") - opens + closes)
-            .withColumn("dip", F.least(F.col("depth_before") - lead, F.col("depth_after"))))
+    return _depths(lines, block_size).done()
 
 
 def structure(lines: DataFrame, block_size: int | None = None) -> DataFrame:
@@ -97,42 +103,40 @@ def structure(lines: DataFrame, block_size: int | None = None) -> DataFrame:
 
     * ``end_line`` - on lines that leave a block open, the line that closes it (null: never closed);
       on lines that open and close a block, the line itself;
-    * ``parent_line``, ``parent_text`` - the line that opened the block this line lies in.
+    * ``parent_line``, ``parent_text`` - the line that opened the block this line lies in, and its code.
 
     A block opened at depth ``d`` ends at the first later line that dips to ``d`` or lower, and a line
     whose dip is ``d + 1`` lies in the last block opened at ``d``. So every line sends at most a few
-    events to the groups ``(file, depth)`` and both questions are one scan over those groups.
+    events to the groups ``(file, depth)`` and both questions are one scan over those groups. Only the
+    event that asks for the parent carries the line; the end comes to it from the line's next event.
     """
-    d = block_depth(lines, block_size)
-    pos = F.col("line_no")
-    ends = F.when(F.col("depth_before") > F.col("dip"),
-                  F.transform(F.sequence(F.col("dip"), F.col("depth_before") - 1),
-                              lambda lv: F.struct(lv.alias("level"), F.lit(0).alias("sub"))))
-    member = F.array(F.struct((F.col("dip") - 1).alias("level"), F.lit(1).alias("sub")))
-    start = F.when(F.col("depth_after") > F.col("dip"),
-                   F.array(F.struct((F.col("depth_after") - 1).alias("level"), F.lit(2).alias("sub"))))
+    d = _depths(lines, block_size)
+    pos, parts = F.col("line_no"), d.parts
+    event = lambda level, sub: F.struct(level.alias("level"), F.lit(sub).alias("sub"))
+    ends = F.when(F.col("depth_before") > F.col("dip"), F.transform(F.sequence(F.col("dip"), F.col("depth_before") - 1), lambda lv: event(lv, 0)))
+    member = F.array(event(F.col("dip") - 1, 1))
+    start = F.when(F.col("depth_after") > F.col("dip"), F.array(event(F.col("depth_after") - 1, 2)))
     none = F.expr("cast(array() as array<struct<level:bigint,sub:int>>)")
-    events = d.withColumn("_e", F.explode(F.concat(F.coalesce(ends, none), member, F.coalesce(start, none))))
-    events = events.select(*LINE_COLS, "depth_before", "depth_after", "dip", "_e.level", "_e.sub")
-    seen = scan(events, ["file_id", "level"], ["line_no", "sub"], block_size,
-                blocks=[line_block("line_no", block_size)],
-                _end=Upcoming(F.when(F.col("sub") == 0, pos)),
-                _parent=Last(F.when(F.col("sub") == 2, F.struct("line_no", "line")), current=False))
-    own = has(F.col("line"), "{") & has(F.col("line"), "}") & (F.col("depth_after") == F.col("dip"))
-    per_line = (seen.where("sub > 0").groupBy("file_id", "line_no")
-                .agg(F.first("line").alias("line"), F.first("depth_before").alias("depth_before"),
-                     F.first("depth_after").alias("depth_after"), F.first("dip").alias("dip"),
-                     F.max(F.when(F.col("sub") == 2, F.col("_end"))).alias("end_line"),
-                     F.max(F.when(F.col("sub") == 1, F.col("_parent"))).alias("_parent")))
-    return per_line.select(
-        *LINE_COLS, "depth_before", "depth_after", "dip",
-        F.when(own, pos).otherwise(F.col("end_line")).cast("int").alias("end_line"),
-        F.col("_parent.line_no").alias("parent_line"), F.col("_parent.line").alias("parent_text"))
+
+    def events(rows: DataFrame) -> DataFrame:
+        own = F.col("_e.sub") == 1
+        return rows.withColumn("_e", F.explode(F.concat(F.coalesce(ends, none), member, F.coalesce(start, none)))).select(
+            *parts, "line_no", F.when(own, F.col("line")).alias("line"), F.when(F.col("_e.sub") > 0, F.col("code")).alias("code"),
+            "depth_before", "depth_after", "dip", "_e.level", "_e.sub")
+
+    seen = d.map(events).scan(["line_no", "sub"], ("level",), _end=Upcoming(F.when(F.col("sub") == 0, pos)),
+                              _parent=Last(F.when(F.col("sub") == 2, F.struct("line_no", "code")), current=False))
+    rows = seen.scan(["line_no", "sub"], _next=Upcoming(F.struct("line_no", "sub", "_end"))).done().where("sub = 1")
+    both = has(F.col("code"), "{") & has(F.col("code"), "}") & (F.col("depth_after") == F.col("dip"))
+    opened = (F.col("_next.line_no") == pos) & (F.col("_next.sub") == 2)
+    return rows.select(
+        *LINE_COLS, "code", "depth_before", "depth_after", "dip", F.when(both, pos).when(opened, F.col("_next._end")).cast("int").alias("end_line"),
+        F.col("_parent.line_no").alias("parent_line"), F.col("_parent.code").alias("parent_text"))
 
 
 def block_ends(lines: DataFrame, block_size: int | None = None) -> DataFrame:
     """(file_id, line_no, end_line) for every line with an opening brace."""
-    return (structure(lines, block_size).where(has(F.col("line"), "{"))
+    return (structure(lines, block_size).where(has(F.col("code"), "{"))
             .select("file_id", "line_no", "end_line"))
 
 

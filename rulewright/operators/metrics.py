@@ -1,8 +1,9 @@
 """Complexity metrics and unused symbols.
 
-``st`` is the block structure of a corpus. ``method_lines`` assigns every line to the method it lies
-in; everything else is an aggregation or an anti join on top. Reports are long tables (one row per
-symbol or metric), so no row collects a whole file.
+``stmts`` are the statements of a corpus (:func:`rulewright.operators.code.statements`): comments and the
+insides of literals are blank, so words in them count for nothing. ``method_statements`` assigns every
+statement to the method it lies in; everything else is an aggregation or an anti join on top. Reports are
+long tables (one row per symbol or metric), so no row collects a whole file.
 """
 
 from __future__ import annotations
@@ -10,75 +11,73 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rulewright.functions.text import has, tokens
+from rulewright.functions.text import tokens
 from rulewright.operators import declarations as D
-from rulewright.operators.file_rules import token_lines
-from rulewright.operators.scan import BLOCK_LINES, Last, Total, line_block, scan
+from rulewright.operators.scan import BLOCK_LINES, Blocks, Last, line_block
 
 BRANCH = r"\b(?:if|for|while|do|case|catch)\b|\?|&&|\|\|"
-NOT_BINARY = r"//.*$|\+\+|--|[-+*/%&|^]=|->"
+WILDCARD = r"([<,]) ?\?"  # a question mark of a generic type decides nothing
+NOT_BINARY = r"\+\+|--|[-+*/%&|^]=|->"
 OPERATOR = r"==|!=|<=|>=|[-+*/%<>^]"
 CONTROL = r"\b(?:if|for|while|do|switch|try|catch)\b|\?"
-CONTROL_BLOCK = r"\b(?:if|else|for|while|do|switch|try|catch|finally)\b"
 ASSIGNED = r"([A-Za-z_][A-Za-z0-9_]*)\s*(?:[-+*/%&|^]?=(?:[^=]|$)|\+\+|--)"
 METHOD_KEY = ["file_id", "method_line"]
 
 
-def method_lines(st: DataFrame) -> DataFrame:
-    """Lines inside methods, with ``method_line``, ``method_end`` (null: never closed) and ``nesting``.
+def method_statements(parsed: Blocks) -> DataFrame:
+    """Statements inside methods, with ``method_line``, ``method_end`` (null: never closed) and whether they are
+    the ``header``.
 
-    A line belongs to the last header at or above it whose block has not ended. ``nesting`` is the
-    number of control blocks the line lies in: a block counts after its first line and no longer on
-    the line that closes it. Every row sends itself and, if it opens a control block, an event to the
-    line that closes it, so one scan answers both.
+    A statement belongs to the last header at or above it whose block has not ended. ``parsed`` is what
+    :func:`rulewright.operators.code.parse` deals out, so this needs no exchange of its own.
     """
-    opens = F.col("line").rlike(CONTROL_BLOCK) & (F.col("depth_after") > F.col("dip"))
-    payload = [c for c in st.columns if c not in ("file_id", "line_no")]
-    row = F.struct("line_no", F.lit(1).alias("sub"), F.when(opens, 1).otherwise(0).alias("delta"), F.struct(*payload).alias("r"))
-    none = F.lit(None).cast(st.select(F.struct(*payload)).schema[0].dataType)
-    closing = F.struct(F.col("end_line").alias("line_no"), F.lit(0).alias("sub"), F.lit(-1).alias("delta"), none.alias("r"))
-    both = F.when(opens & F.col("end_line").isNotNull(), F.array(row, closing)).otherwise(F.array(row))
-    events = st.select("file_id", F.explode(both).alias("e")).select(
-        "file_id", "e.line_no", "e.sub", "e.delta", *[F.col(f"e.r.{c}").alias(c) for c in payload])
-    end = F.when(F.regexp_extract("line", D.METHOD, 5) == ";", F.col("line_no")).otherwise(F.col("end_line"))
-    head = F.when((F.col("sub") == 1) & D.method_header(), F.struct("line_no", end.alias("end")))
-    seen = scan(events, ["file_id"], ["line_no", "sub"], _open=Total(F.col("delta").cast("bigint")), _m=Last(head))
-    inside = F.col("_m").isNotNull() & (F.col("_m.end").isNull() | (F.col("line_no") <= F.col("_m.end")))
-    return (seen.where((F.col("sub") == 1) & inside)
-            .withColumns({"method_line": F.col("_m.line_no"), "method_end": F.col("_m.end"),
-                          "nesting": F.col("_open") - F.col("delta")}).drop("_m", "_open", "sub", "delta"))
+    closed = F.col("term") == ";"
+    end = F.struct(F.col("stmt_no").alias("no"), F.col("start_line").alias("line"), F.when(closed, F.col("line_no")).otherwise(F.col("end_line")).alias("end"),
+                   F.when(closed, F.col("stmt_no")).otherwise(F.col("end_no")).alias("end_no"))
+    seen = parsed.scan(["stmt_no"], _m=Last(F.when(D.method_header(), end))).done()
+    inside = F.col("_m").isNotNull() & (F.col("_m.end_no").isNull() | (F.col("stmt_no") <= F.col("_m.end_no")))
+    return seen.where(inside).withColumns({"method_line": F.col("_m.line"), "method_end": F.col("_m.end"),
+                                           "header": F.col("_m.no") == F.col("stmt_no")}).drop("_m")
+
+
+def _decisions() -> Column:
+    return F.regexp_replace("text", WILDCARD, "$1")
 
 
 def branches(strict: bool = False) -> Column:
-    """M1: decisions on a line; ``strict`` also counts comparison and arithmetic operators."""
-    n = F.regexp_count("line", F.lit(BRANCH))
+    """M1: decisions in a statement; ``strict`` also counts comparison and arithmetic operators."""
+    n = F.regexp_count(_decisions(), F.lit(BRANCH))
     if strict:
-        n = n + F.regexp_count(F.regexp_replace("line", NOT_BINARY, ""), F.lit(OPERATOR))
+        n = n + F.regexp_count(F.regexp_replace("text", NOT_BINARY, ""), F.lit(OPERATOR))
     return n
 
 
-def cyclomatic(ml: DataFrame, strict: bool = False) -> DataFrame:
+def _control() -> Column:
+    return F.regexp_count(_decisions(), F.lit(CONTROL))
+
+
+def _inner_depth() -> Column:
+    return F.col("depth") + F.when(F.col("term") == "{", 1).otherwise(0)
+
+
+def cyclomatic(ms: DataFrame, strict: bool = False) -> DataFrame:
     """M1: one plus the decisions of the method."""
-    return ml.groupBy(*METHOD_KEY).agg((F.sum(branches(strict)) + 1).alias("cyclomatic"))
+    return ms.groupBy(*METHOD_KEY).agg((F.sum(branches(strict)) + 1).alias("cyclomatic"))
 
 
-def cognitive(ml: DataFrame) -> DataFrame:
+def cognitive(ms: DataFrame) -> DataFrame:
     """M2: every control word costs one plus the control blocks around it within its method."""
-    n = F.regexp_count("line", F.lit(CONTROL))
-    per = ml.groupBy(*METHOD_KEY).agg(
-        F.sum(n * (F.col("nesting") + 1)).alias("_all"), F.sum(n).alias("_n"),
-        F.max(F.when(F.col("line_no") == F.col("method_line"), F.col("nesting"))).alias("_base"))
-    return per.select(*METHOD_KEY, (F.col("_all") - F.col("_n") * F.col("_base")).alias("cognitive"))
+    return method_metrics(ms).select(*METHOD_KEY, "cognitive")
 
 
-def line_counts(lines: DataFrame, st: DataFrame) -> DataFrame:
+def line_counts(lines: DataFrame, stmts: DataFrame) -> DataFrame:
     """M3: lines per file, type and method; without an end the count is unknown."""
-    span = (F.col("end_line") - F.col("line_no") + 1).cast("bigint").alias("line_count")
+    span = (F.col("end_line") - F.col("start_line") + 1).cast("bigint").alias("line_count")
     per_file = lines.groupBy("file_id").agg((F.max("line_no") - F.min("line_no") + 1).cast("bigint").alias("line_count")).select(
         "file_id", F.lit("file").alias("kind"), F.lit(1).alias("line_no"), "line_count")
-    types = st.where(D.type_header(F.col("line"))).select("file_id", F.lit("type").alias("kind"), "line_no", span)
-    methods = st.where(D.method_header()).select("file_id", F.lit("method").alias("kind"), "line_no", span)
-    return per_file.unionByName(types).unionByName(methods)
+    kind = F.when((F.col("term") == "{") & D.type_header(F.col("text")), "type").when(D.method_header(), "method")
+    blocks = stmts.withColumn("kind", kind).where("kind IS NOT NULL")
+    return per_file.unionByName(blocks.select("file_id", "kind", F.col("start_line").alias("line_no"), span))
 
 
 def document_line_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,21 +85,18 @@ def document_line_counts(df: DataFrame, id_col: str, text_col: str) -> DataFrame
     return df.select(id_col, (F.regexp_count(text_col, F.lit("\n")) + 1).cast("bigint").alias("line_count"))
 
 
-def max_nesting(ml: DataFrame) -> DataFrame:
+def max_nesting(ms: DataFrame) -> DataFrame:
     """Deepest block inside a method, counted from its body."""
-    deepest = F.max("depth_after")
-    base = F.max(F.when(F.col("line_no") == F.col("method_line"), F.col("depth_after")))
-    return ml.groupBy(*METHOD_KEY).agg(F.greatest(deepest - base, F.lit(0)).alias("max_nesting"))
+    return method_metrics(ms).select(*METHOD_KEY, "max_nesting")
 
 
-def method_metrics(ml: DataFrame) -> DataFrame:
-    """M1, M2, M3 and M11 of every method in one aggregation over its lines."""
-    n = F.regexp_count("line", F.lit(CONTROL))
-    head = F.col("line_no") == F.col("method_line")
-    per = ml.groupBy(*METHOD_KEY).agg(
+def method_metrics(ms: DataFrame) -> DataFrame:
+    """M1, M2, M3 and M11 of every method in one aggregation over its statements."""
+    n, head = _control(), F.col("header")
+    per = ms.groupBy(*METHOD_KEY).agg(
         F.sum(branches()).alias("_b"), F.sum(n * (F.col("nesting") + 1)).alias("_all"), F.sum(n).alias("_n"),
-        F.max(F.when(head, F.col("nesting"))).alias("_base"), F.max("depth_after").alias("_deep"),
-        F.max(F.when(head, F.col("depth_after"))).alias("_body"), F.max("line_no").alias("_last"))
+        F.max(F.when(head, F.col("nesting"))).alias("_base"), F.max(_inner_depth()).alias("_deep"),
+        F.max(F.when(head, _inner_depth())).alias("_body"), F.max(F.greatest("line_no", F.coalesce("method_end", "line_no"))).alias("_last"))
     return per.select(
         *METHOD_KEY, (F.col("_b") + 1).alias("cyclomatic"), (F.col("_all") - F.col("_n") * F.col("_base")).alias("cognitive"),
         (F.col("_last") - F.col("method_line") + 1).cast("bigint").alias("line_count"),
@@ -117,83 +113,82 @@ def file_metrics(files: DataFrame, per_method: DataFrame) -> DataFrame:
         F.coalesce("_m", zero).alias("max_method_cyclomatic_complexity"), F.coalesce("_n", zero).alias("method_count"))
 
 
-def analyze_complexity(lines: DataFrame, st: DataFrame, edges: DataFrame) -> DataFrame:
-    """M5: the analysis record of every file as rows (file_id, part, name, start_line, end_line, value).
+def analyze_complexity(lines: DataFrame, parsed: Blocks, edges: DataFrame) -> DataFrame:
+    """M5: the analysis record of every file as rows (file_id, part, name, start_line, end_line, value, depends_on).
 
-    Parts: ``method`` (value = cyclomatic), ``class`` (value = lines), ``dependency`` (value = file
-    depended on) and the three file metrics.
+    Parts: ``method`` (value = cyclomatic), ``class`` (value = lines), ``dependency`` (depends_on = the file
+    depended on, of the type that files have) and the three file metrics.
     """
-    none = F.lit(None)
-    per_method = cyclomatic(method_lines(st)).withColumnRenamed("method_line", "start_line")
-    methods = D.extract_methods(st).join(per_method, ["file_id", "start_line"])
+    stmts, none = parsed.done(), F.lit(None)
+    nothing = none.cast(edges.schema["dst"].dataType).alias("depends_on")
+    per_method = cyclomatic(method_statements(parsed)).withColumnRenamed("method_line", "start_line")
+    methods = D.extract_methods(stmts).join(per_method, ["file_id", "start_line"])
     name = F.concat_ws(".", F.when(F.col("class_name") != "", F.col("class_name")),
                        D.method_key(F.col("name"), F.col("parameter_types")))
     rows = methods.select("file_id", F.lit("method").alias("part"), name.alias("name"), "start_line", "end_line",
-                          F.col("cyclomatic").alias("value"))
-    types = st.where(D.type_header(F.col("line"))).select(
-        "file_id", F.lit("class").alias("part"), D.type_name(F.col("line")).alias("name"), F.col("line_no").alias("start_line"),
-        "end_line", (F.col("end_line") - F.col("line_no") + 1).cast("bigint").alias("value"))
+                          F.col("cyclomatic").alias("value"), nothing)
+    types = stmts.where((F.col("term") == "{") & D.type_header(F.col("text"))).select(
+        "file_id", F.lit("class").alias("part"), D.type_name(F.col("text")).alias("name"), "start_line",
+        "end_line", (F.col("end_line") - F.col("start_line") + 1).cast("bigint").alias("value"), nothing)
     deps = edges.select(F.col("src").alias("file_id"), F.lit("dependency").alias("part"), none.cast("string").alias("name"),
-                        none.cast("int").alias("start_line"), none.cast("int").alias("end_line"), F.col("dst").alias("value"))
+                        none.cast("int").alias("start_line"), none.cast("int").alias("end_line"), none.cast("bigint").alias("value"), F.col("dst").alias("depends_on"))
     totals = file_metrics(lines, per_method)
     names = [c for c in totals.columns if c != "file_id"]
     flat = totals.select("file_id", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("t"))
     flat = flat.select("file_id", F.lit("file").alias("part"), "t.name", none.cast("int").alias("start_line"),
-                       none.cast("int").alias("end_line"), "t.value")
+                       none.cast("int").alias("end_line"), "t.value", nothing)
     return rows.unionByName(types).unionByName(deps).unionByName(flat)
 
 
 # Unused symbols ---------------------------------------------------------------------------------
-def unused_fields(lines: DataFrame, st: DataFrame) -> DataFrame:
-    """M6: fields without initialiser whose name occurs on no other line; ``_`` names are exempt."""
-    fields = D.extract_fields(st).where(~F.col("has_initializer") & ~F.col("is_enum_constant") & ~F.startswith("name", F.lit("_")))
-    once = token_lines(lines).where("n_lines = 1").select("file_id", "name")
-    return fields.join(once, ["file_id", "name"], "left_semi").select("file_id", "class_name", "name", "type_name", "declaration_line")
+def statement_names(rows: DataFrame, *keys: str) -> DataFrame:
+    """In how many statements a name occurs, per ``keys``."""
+    return rows.select(*keys, F.explode(tokens(F.col("text"))).alias("name")).groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"))
 
 
-def method_variables(ml: DataFrame) -> DataFrame:
-    """Local variables of every method, one row per declaration."""
-    return D.variable_rows(ml.where(F.col("line_no") > F.col("method_line")), "method_line")
+def unused_fields(stmts: DataFrame) -> DataFrame:
+    """M6: fields without initialiser whose name occurs in no other statement; ``_`` names are exempt."""
+    fields = D.extract_fields(stmts).where(~F.col("has_initializer") & ~F.col("is_enum_constant") & ~F.startswith("name", F.lit("_")))
+    once = statement_names(stmts, "file_id").where("n = 1").select("file_id", "name")
+    return fields.join(once, ["file_id", "name"], "left_semi").select("file_id", "class_name", "name", "type_name", "declaration_line")
 
 
-def _method_names(ml: DataFrame) -> DataFrame:
-    body = F.when(F.col("line_no") == F.col("method_line"), F.regexp_extract("line", r"\{(.*)$", 1)).otherwise(F.col("line"))
-    return ml.select(*METHOD_KEY, F.explode(tokens(body)).alias("name")).groupBy(*METHOD_KEY, "name").agg(
-        F.count(F.lit(1)).alias("n_lines"))
+def method_variables(ms: DataFrame) -> DataFrame:
+    """Local variables of every method, one row per declaration."""
+    return D.variable_rows(ms.where("NOT header"), "method_line")
 
 
-def unused_variables(ml: DataFrame) -> DataFrame:
-    """M7: local variables whose name occurs on no other line of the method."""
-    once = _method_names(ml).where("n_lines = 1").drop("n_lines")
-    return (method_variables(ml).where(~F.startswith("name", F.lit("_")))
+def unused_variables(ms: DataFrame) -> DataFrame:
+    """M7: local variables whose name occurs in no other statement of the method."""
+    once = statement_names(ms.where("NOT header"), *METHOD_KEY).where("n = 1").drop("n")
+    return (method_variables(ms).where(~F.startswith("name", F.lit("_")))
             .join(once, [*METHOD_KEY, "name"], "left_semi").select(*METHOD_KEY, "name", "type_name", "declaration_line"))
 
 
-def unused_parameters(st: DataFrame, ml: DataFrame) -> DataFrame:
+def unused_parameters(stmts: DataFrame, ms: DataFrame) -> DataFrame:
     """M8: parameters (except ``_``) that the body of their method never names; a report only."""
-    methods = D.extract_methods(st.where(has(F.col("line"), "{")))
-    params = methods.select("file_id", F.col("start_line").alias("method_line"), F.col("name").alias("method"),
-                            F.explode("parameter_names").alias("name")).where("name <> '_'")
-    return params.join(_method_names(ml), [*METHOD_KEY, "name"], "left_anti").select(
-        *METHOD_KEY, "method", F.col("name").alias("parameter"))
+    params = D.method_rows(stmts).where("term = '{'").select(
+        "file_id", F.col("start_line").alias("method_line"), F.col("name").alias("method"), F.explode("parameter_names").alias("name")).where("name <> '_'")
+    used = statement_names(ms.where("NOT header"), *METHOD_KEY)
+    return params.join(used, [*METHOD_KEY, "name"], "left_anti").select(*METHOD_KEY, "method", F.col("name").alias("parameter"))
 
 
-def symbol_summary(st: DataFrame, ml: DataFrame) -> DataFrame:
+def symbol_summary(stmts: DataFrame, ms: DataFrame) -> DataFrame:
     """M9: every symbol as (file_id, owner, kind, name, type_name).
 
     Owners are classes for fields and methods, ``Class.method-key`` for parameters and variables.
     """
-    methods = D.extract_methods(st)
+    methods = D.extract_methods(stmts)
     key = D.method_key(F.col("name"), F.col("parameter_types"))
     full = F.concat_ws(".", F.when(F.col("class_name") != "", F.col("class_name")), key)
-    fields = D.extract_fields(st).select("file_id", F.col("class_name").alias("owner"), F.lit("field").alias("kind"), "name", "type_name")
+    fields = D.extract_fields(stmts).select("file_id", F.col("class_name").alias("owner"), F.lit("field").alias("kind"), "name", "type_name")
     own = methods.select("file_id", F.col("class_name").alias("owner"), F.lit("method").alias("kind"), key.alias("name"),
                          F.col("return_type").alias("type_name"))
     params = methods.select("file_id", full.alias("owner"), F.explode(F.arrays_zip(
         F.col("parameter_names").alias("n"), F.col("parameter_types").alias("t"))).alias("p")).select(
         "file_id", "owner", F.lit("parameter").alias("kind"), F.col("p.n").alias("name"), F.col("p.t").alias("type_name"))
     owners = methods.select("file_id", F.col("start_line").alias("method_line"), full.alias("owner"))
-    variables = method_variables(ml).join(owners, METHOD_KEY).select(
+    variables = method_variables(ms).join(owners, METHOD_KEY).select(
         "file_id", "owner", F.lit("variable").alias("kind"), "name", "type_name").distinct()
     return fields.unionByName(own).unionByName(params).unionByName(variables)
 

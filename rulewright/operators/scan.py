@@ -1,28 +1,36 @@
 """Ordered scans over groups of any size.
 
 A window over ``file_id`` alone puts a whole file into one task, so one huge file would stall the
-job. ``scan`` cuts every group into blocks of consecutive rows and works in three steps:
+job. Rows are dealt out by group and block of consecutive rows (:class:`Blocks`), and a scan works
+in three steps:
 
 1. windows inside ``(group, block)`` - tasks of bounded size;
-2. one summary row per block and a window over those summaries (one row per 65,536 lines);
-3. a join that carries the state of the earlier (or later) blocks in. Groups of one block have
-   nothing to carry and are removed from the summary side, so for ordinary files that side is
-   empty.
-
-The rows are computed and shuffled once: steps 1 and 2 read the same exchange. Spark shares an
-exchange only if both readers ask for the same rows and columns, so both sides touch all columns
-and rows without a key, which belong to no group, are left out first. Callers select what they need
-before a scan.
+2. for groups of several blocks, one summary row per block and a window over those summaries (one
+   row per 65,536 lines);
+3. a join that carries the state of the earlier (or later) blocks in.
+
+Ordinary files have one block. The table of groups with several is then empty, and AQE drops steps 2
+and 3 when it sees that. Any number of scans, and row-local steps between them, follow one dealing of
+the rows: a scan over ``(group, more keys)`` needs no other exchange, only a sort. Operators that chain
+scans ask first whether any file has several blocks (:func:`whole_files`); mostly none has.
+
+Spark shares an exchange only if both readers ask for the same rows and columns, so both sides touch
+all columns, and rows without a key, which belong to no group, are left out first. Callers select
+what they need before a scan.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rulewright.sources.scratch import ensure_checkpoint_dir
+
 BLOCK_LINES = 65_536
 
 
@@ -46,51 +54,139 @@ class Upcoming:
     current: bool = False
 
 
+@dataclass(frozen=True)
+class Compose:
+    """State (on or off) in which a row is entered, each row mapping the two states to a state.
+
+    ``from_off`` and ``from_on`` say whether the state is on after a row that is entered in state off
+    or on; null leaves it alone. A group starts in state off. Maps of two states are composed from two
+    running values: those that forget the state they were entered in set it anew, those that swap the
+    states are counted, and the state is the last one set, swapped once more for each swap since."""
+    from_off: Column
+    from_on: Column
+
+
 def line_block(pos: str = "line_no", size: int | None = None) -> Column:
     return F.floor((F.col(pos) - 1) / F.lit(size or BLOCK_LINES))
 
 
+def whole_files(lines: DataFrame, size: int | None = None) -> bool:
+    """Whether no file has more than one block of lines. On a line table in Parquet the row groups'
+    statistics answer that without reading them."""
+    return lines.where(F.col("line_no") > (size or BLOCK_LINES)).limit(1).isEmpty()
+
+
+def _odd(count: Column) -> Column:
+    return count % 2 != 0
+
+
+def _composed(df: DataFrame, off: Column, on: Column, window, name: str) -> DataFrame:
+    """Add the composition of the maps up to and including each row: ``{name}_off`` and ``{name}_on``."""
+    df = df.withColumns({f"{name}_a": F.coalesce(off, F.lit(False)), f"{name}_b": F.coalesce(on, F.lit(True))})
+    a, b = F.col(f"{name}_a"), F.col(f"{name}_b")
+    df = df.withColumn(f"{name}_p", F.sum(F.when(a & ~b, 1).otherwise(0)).over(window))
+    swapped = _odd(F.col(f"{name}_p"))
+    df = df.withColumn(f"{name}_c", F.last(F.when(a == b, a != swapped), ignorenulls=True).over(window))
+    return df.withColumns({f"{name}_off": F.coalesce(F.col(f"{name}_c"), F.lit(False)) != swapped,
+                           f"{name}_on": F.coalesce(F.col(f"{name}_c"), F.lit(True)) != swapped}).drop(f"{name}_a", f"{name}_b", f"{name}_p", f"{name}_c")
+
+
+class Blocks:
+    """Rows dealt out by ``keys`` and the columns ``cut``, which grow with the order of the scans to come.
+
+    ``whole`` says that every group has one block; then there is no state to carry and the plan of any
+    number of scans stays a single line. Otherwise a scan reads its rows twice, and for ``several_scans``
+    its result is checkpointed, so that a chain of scans doesn't double its plan each time."""
+
+    def __init__(self, rows: DataFrame, keys: list[str], cut: list[Column], whole: bool = False, several_scans: bool = False):
+        self.keys, self.blk, self.whole, self.several_scans = keys, [] if whole else [f"_blk{i}" for i in range(len(cut))], whole, several_scans
+        self.parts = keys + self.blk
+        base = rows.withColumns(dict(zip(self.blk, cut)))
+        base = base.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in self.parts]))
+        if whole:
+            self.rows = base
+            return
+        base = base.repartition(*self.parts)
+        touched = F.try_add(F.hash(*base.columns).cast("bigint"), F.lit(1))  # needs every column, is never null
+        per_block = base.groupBy(*self.parts).agg(F.count(touched).alias("_touched"))
+        self.several = (per_block.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+                        .where("_n > 1 AND _touched > 0").select(*self.parts))
+        # A filter that isn't deterministic stays where it is, above the exchange, and so does what it reads.
+        self.rows = base.where(F.when(F.monotonically_increasing_id() >= 0, touched.isNotNull()))
+        if several_scans:
+            ensure_checkpoint_dir(rows.sparkSession)
+            self.several = self.several.checkpoint()
+
+    def map(self, step: Callable[[DataFrame], DataFrame]) -> Blocks:
+        """A row-local step, or an aggregation by the dealt keys and more; it keeps the dealt keys."""
+        out = copy(self)
+        out.rows = step(self.rows)
+        return out
+
+    def scan(self, order: list[str], within: tuple[str, ...] = (), **specs: Total | Last | Upcoming | Compose) -> Blocks:
+        """Add one column per spec, evaluated per ``keys`` and ``within`` group in ``order``."""
+        parts, place = [*self.parts, *within], F.struct(*order)
+        forward = Window.partitionBy(*parts).orderBy(*order)
+        backward = Window.partitionBy(*parts).orderBy(*[F.desc(c) for c in order])
+        up_to = forward.rowsBetween(Window.unboundedPreceding, 0)
+        over = Window.partitionBy(*self.keys, *within)
+        before, after = (over.orderBy(*(o or [F.lit(0)])).rowsBetween(Window.unboundedPreceding, -1) for o in (self.blk, [F.desc(c) for c in self.blk]))
+
+        rows, local, summary, carry = self.rows, {}, [], {}
+        for name, s in specs.items():
+            if isinstance(s, Total):
+                local[name] = F.sum(s.expr).over(up_to)
+                summary.append(F.sum(s.expr).alias(f"_s_{name}"))
+                carry[name] = F.sum(f"_s_{name}").over(before)
+            elif isinstance(s, Compose):
+                rows = _composed(rows, s.from_off, s.from_on, up_to, f"_m_{name}")
+                local[f"_m_{name}_off0"] = F.lag(f"_m_{name}_off", 1, False).over(forward)
+                local[f"_m_{name}_on0"] = F.lag(f"_m_{name}_on", 1, True).over(forward)
+                summary.append(F.max_by(F.struct(F.col(f"_m_{name}_off").alias("off"), F.col(f"_m_{name}_on").alias("on")), place).alias(f"_s_{name}"))
+            else:
+                back, edge = isinstance(s, Upcoming), 0 if s.current else -1
+                local[name] = F.last(s.expr, ignorenulls=True).over((backward if back else forward).rowsBetween(Window.unboundedPreceding, edge))
+                pick = F.min_by if back else F.max_by
+                summary.append(pick(s.expr, F.when(s.expr.isNotNull(), place)).alias(f"_s_{name}"))
+                carry[name] = F.last(f"_s_{name}", ignorenulls=True).over(after if back else before)
+        local_rows = rows.withColumns(local)
+        temporary = [f"_m_{n}_{e}" for n, s in specs.items() if isinstance(s, Compose) for e in ("off", "on", "off0", "on0")]
+        if self.whole:
+            states_in = {n: F.col(f"_m_{n}_off0") for n, s in specs.items() if isinstance(s, Compose)}
+            return self.map(lambda _: local_rows.withColumns(states_in).drop(*temporary))
+        states = rows.join(self.several, self.parts, "left_semi").groupBy(*parts).agg(*summary)
+        for name, s in specs.items():
+            if isinstance(s, Compose):
+                in_order = over.orderBy(*self.blk)
+                states = _composed(states, F.col(f"_s_{name}.off"), F.col(f"_s_{name}.on"), in_order.rowsBetween(Window.unboundedPreceding, 0), f"_t_{name}")
+                carry[name] = F.lag(f"_t_{name}_off", 1, False).over(in_order)
+        carried = states.select(*parts, F.struct(*[c.alias(n) for n, c in carry.items()]).alias("_carry"))
+        if within:  # joined by block, so that the dealt rows stay where they are
+            entry = F.struct(F.struct(*within).alias("k"), F.col("_carry").alias("v"))
+            carried = carried.groupBy(*self.parts).agg(F.map_from_entries(F.collect_list(entry)).alias("_carry"))
+        out = local_rows.join(carried, self.parts, "left")
+        got = F.try_element_at(F.col("_carry"), F.struct(*within)) if within else F.col("_carry")
+        final = {}
+        for name, s in specs.items():
+            c = got[name]
+            if isinstance(s, Total):
+                final[name] = F.col(name) + F.coalesce(c, F.lit(0))
+            elif isinstance(s, Compose):
+                final[name] = F.when(F.coalesce(c, F.lit(False)), F.col(f"_m_{name}_on0")).otherwise(F.col(f"_m_{name}_off0"))
+            else:
+                final[name] = F.coalesce(F.col(name), c)
+        out = out.withColumns(final).drop("_carry", *temporary)
+        return self.map(lambda _: out.checkpoint() if self.several_scans else out)
+
+    def done(self) -> DataFrame:
+        return self.rows.drop(*self.blk)
+
+
 def scan(rows: DataFrame, keys: list[str], order: list[str], block_size: int | None = None,
-         blocks: list[Column] | None = None, **specs: Total | Last | Upcoming) -> DataFrame:
+         blocks: list[Column] | None = None, **specs: Total | Last | Upcoming | Compose) -> DataFrame:
     """Add one column per spec, evaluated per ``keys`` group in ``order``.
 
     ``blocks`` are columns that grow with ``order``; the default cuts the first order column, which
     must then be a 1-based position.
     """
-    cut = blocks or [line_block(order[0], block_size)]
-    blk = [f"_blk{i}" for i in range(len(cut))]
-    keyed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*keys, *blk]])
-    base = rows.withColumns(dict(zip(blk, cut))).where(keyed).repartition(*keys, *blk)
-    parts = keys + blk
-    place = F.struct(*order)
-    forward = Window.partitionBy(*parts).orderBy(*order)
-    backward = Window.partitionBy(*parts).orderBy(*[F.desc(c) for c in order])
-    over_blocks = Window.partitionBy(*keys).orderBy(*blk).rowsBetween(Window.unboundedPreceding, -1)
-    over_blocks_back = (Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in blk])
-                        .rowsBetween(Window.unboundedPreceding, -1))
-
-    touched = F.try_add(F.hash(*base.columns).cast("bigint"), F.lit(1))  # needs every column, is never null
-    local, summary, carry = {}, [F.sum(touched).alias("_touched")], []
-    for name, s in specs.items():
-        edge = 0 if getattr(s, "current", True) else -1
-        if isinstance(s, Total):
-            local[name] = F.sum(s.expr).over(forward.rowsBetween(Window.unboundedPreceding, 0))
-            summary.append(F.sum(s.expr).alias(f"_s_{name}"))
-            carry.append(F.sum(f"_s_{name}").over(over_blocks).alias(f"_c_{name}"))
-        else:
-            back = isinstance(s, Upcoming)
-            w = (backward if back else forward).rowsBetween(Window.unboundedPreceding, edge)
-            pick = F.min_by if back else F.max_by
-            local[name] = F.last(s.expr, ignorenulls=True).over(w)
-            summary.append(pick(s.expr, F.when(s.expr.isNotNull(), place)).alias(f"_s_{name}"))
-            carry.append(F.last(f"_s_{name}", ignorenulls=True)
-                         .over(over_blocks_back if back else over_blocks).alias(f"_c_{name}"))
-    per_block = base.groupBy(*parts).agg(*summary)
-    several = per_block.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys))).where("_n > 1 AND _touched IS NOT NULL")
-    carried = several.select(*parts, *carry)
-    out = base.withColumns(local).where(touched.isNotNull()).join(carried, parts, "left")
-    final = {}
-    for name, s in specs.items():
-        c = F.col(f"_c_{name}")
-        final[name] = (F.col(name) + F.coalesce(c, F.lit(0))) if isinstance(s, Total) else F.coalesce(F.col(name), c)
-    return out.withColumns(final).drop(*blk, *[f"_c_{n}" for n in specs])
+    return Blocks(rows, keys, blocks or [line_block(order[0], block_size)]).scan(order, **specs).done()

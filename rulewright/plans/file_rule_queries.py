@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from rulewright.operators import declarations as D
 from rulewright.operators import file_rules as X
 from rulewright.operators import lines as L
-from rulewright.plans.declaration_queries import IMPORT_SQL, METHOD_SQL, corpus, joined, m, x
-from rulewright.plans.line_queries import ANCHOR_SQL, LOOP_SQL, STRUCT_SQL
+from rulewright.plans.declaration_queries import IMPORT_SQL, METHOD_SQL, blocks, corpus, joined, m, x
+from rulewright.plans.line_queries import ANCHOR_SQL, LOOP_SQL, STMT_SQL, STRUCT_SQL
 from rulewright.plans.registry import query, quoted as q, with_tables
 from rulewright.sources.derived import code_lines, findings, table
 
@@ -19,16 +19,16 @@ S = "regexp_replace(line, '^\\s+|\\s+$', '', 'g')"
 PLAIN = "NOT (contains(line, '//') OR contains(line, '*') OR contains(line, '\"') OR contains(line, chr(39)))"
 
 
-R1_SQL = f"""ui AS (SELECT file_id, line_no, path FROM im WHERE NOT is_static AND NOT is_wildcard AND NOT EXISTS (
-  SELECT 1 FROM tk JOIN cl USING (file_id, line_no) WHERE tk.file_id = im.file_id AND tk.name = im.simple_name AND NOT {m(D.IMPORT)}))"""
+R1_SQL = f"""us AS MATERIALIZED (SELECT DISTINCT file_id, unnest(regexp_extract_all(line, '[A-Za-z_][A-Za-z0-9_]*')) AS simple_name FROM cl WHERE NOT {m(D.IMPORT)}),
+ui AS (SELECT file_id, line_no, path FROM (SELECT * FROM im WHERE NOT is_static AND NOT is_wildcard) ANTI JOIN us USING (file_id, simple_name))"""
 
 
-@query("r1_unused_imports", with_tables("cl", IMPORT_SQL, TOKEN_SQL, R1_SQL, body="SELECT * FROM ui"))
+@query("r1_unused_imports", with_tables("cl", IMPORT_SQL, R1_SQL, body="SELECT * FROM ui"))
 def _(spark, sf):
     return X.unused_imports(code_lines(spark, sf))
 
 
-@query("r1_remove_unused_imports", with_tables("cl", IMPORT_SQL, TOKEN_SQL, R1_SQL, body="SELECT * FROM cl ANTI JOIN ui USING (file_id, line_no)"))
+@query("r1_remove_unused_imports", with_tables("cl", IMPORT_SQL, R1_SQL, body="SELECT * FROM cl ANTI JOIN ui USING (file_id, line_no)"))
 def _(spark, sf):
     return X.remove_unused_imports(code_lines(spark, sf))
 
@@ -167,20 +167,15 @@ def _(spark, sf):
     return X.build_urls(code_lines(spark, sf))
 
 
-R12_SQL = f"""em AS (
-  SELECT h.file_id, line_no, line, h.end_line FROM st h JOIN me ON me.file_id = h.file_id AND me.start_line = h.line_no
-  WHERE {x(D.METHOD, 5)} = '{{' AND (
-    (h.end_line > line_no AND NOT EXISTS (SELECT 1 FROM st b WHERE b.file_id = h.file_id AND b.line_no > h.line_no AND b.line_no < h.end_line
-      AND regexp_replace(b.line, '\\s', '', 'g') <> '' AND NOT regexp_matches(b.line, '^\\s*(//|/\\*|\\*)')))
-    OR (h.end_line = line_no AND regexp_matches(line, '\\{{\\s*\\}}\\s*$'))))"""
+R12_SQL = """em AS (SELECT mr.file_id, body_line AS line_no, line, mr.end_line FROM mr JOIN cl ON cl.file_id = mr.file_id AND cl.line_no = body_line WHERE empty AND mr.term = '{')"""
 
 
-@query("r12_empty_methods", with_tables("cl", STRUCT_SQL, METHOD_SQL, R12_SQL, body="SELECT * FROM em"))
+@query("r12_empty_methods", with_tables("cl", STMT_SQL, METHOD_SQL, R12_SQL, body="SELECT * FROM em"))
 def _(spark, sf):
-    return X.empty_methods(corpus(spark, sf)[1])
+    return X.empty_methods(*corpus(spark, sf))
 
 
-@query("r12_explain_empty_methods", with_tables("cl", STRUCT_SQL, METHOD_SQL, R12_SQL, """r AS (
+@query("r12_explain_empty_methods", with_tables("cl", STMT_SQL, METHOD_SQL, R12_SQL, """r AS (
   SELECT file_id, line_no, 0 AS sub, line FROM cl UNION ALL
   SELECT file_id, line_no, 1, concat(regexp_extract(line, '^(\\s*)', 1), '    // Intentionally empty - Add a reason') FROM em WHERE end_line > line_no)""", body=NUMBERED))
 def _(spark, sf):
@@ -214,37 +209,36 @@ def _(spark, sf):
     return X.rename_in_files(lines, X.renames(findings(spark, sf), lines))
 
 
-@query("r14_freeze_exception_fields", with_tables("cl", STRUCT_SQL, f"""hd AS (
-  SELECT i.file_id, i.line_no, max(h.line_no) AS h FROM st i JOIN st h ON h.file_id = i.file_id AND h.line_no < i.line_no
-    AND contains(h.line, 'class ') AND (contains(h.line, 'Exception') OR contains(h.line, 'Error')) AND contains(h.line, '{{') GROUP BY 1, 2)""", body=f"""
-SELECT st.file_id, st.line_no, CASE WHEN hd.h IS NULL OR st.line_no > coalesce(e.end_line, st.line_no)
-    OR NOT (contains(st.line, ';') AND NOT contains(st.line, 'final ') AND NOT regexp_matches(st.line, '^\\s*(//|/\\*|\\*|@)')) THEN st.line
-  WHEN contains(st.line, 'private') THEN regexp_replace(st.line, '^(.*?)private ', '\\1private final ')
-  WHEN contains(st.line, 'protected') THEN regexp_replace(st.line, '^(.*?)protected ', '\\1protected final ')
-  WHEN contains(st.line, 'public') THEN regexp_replace(st.line, '^(.*?)public ', '\\1public final ') ELSE st.line END AS line
-FROM st LEFT JOIN hd USING (file_id, line_no) LEFT JOIN st e ON e.file_id = st.file_id AND e.line_no = hd.h"""))
+@query("r14_freeze_exception_fields", with_tables("cl", STRUCT_SQL, """hd AS (
+  SELECT *, last_value(CASE WHEN contains(code, 'class ') AND (contains(code, 'Exception') OR contains(code, 'Error')) AND contains(code, '{')
+    THEN {'l': line_no, 'e': end_line} END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM st)""", body="""
+SELECT file_id, line_no, CASE WHEN h IS NULL OR line_no > coalesce(h.e, line_no)
+    OR NOT (contains(line, ';') AND NOT contains(line, 'final ') AND NOT regexp_matches(line, '^\\s*(//|/\\*|\\*|@)')) THEN line
+  WHEN contains(line, 'private') THEN regexp_replace(line, '^(.*?)private ', '\\1private final ')
+  WHEN contains(line, 'protected') THEN regexp_replace(line, '^(.*?)protected ', '\\1protected final ')
+  WHEN contains(line, 'public') THEN regexp_replace(line, '^(.*?)public ', '\\1public final ') ELSE line END AS line FROM hd"""))
 def _(spark, sf):
-    return X.freeze_exception_fields(corpus(spark, sf)[1])
+    return X.freeze_exception_fields(blocks(spark, sf)[1])
 
 
 R16_SQL = f"""sw AS (
-  SELECT h.file_id, h.line_no, h.end_line, h.line, {x(X.CATCH, 1, 'h.line')} AS exception
+  SELECT h.file_id, h.line_no, h.end_line, h.line, {x(X.CATCH, 1, 'h.code')} AS exception
   FROM st h JOIN st b ON b.file_id = h.file_id AND b.line_no > h.line_no AND b.line_no < h.end_line
-  WHERE {m(X.CATCH, 'h.line')} GROUP BY ALL
+  WHERE {m(X.CATCH, 'h.code')} GROUP BY ALL
   HAVING count(*) FILTER (WHERE regexp_matches(b.line, '\\S')) > 0
-    AND count(*) FILTER (WHERE contains(lower(b.line), 'log') OR contains(b.line, 'throw')) = 0)"""
+    AND count(*) FILTER (WHERE contains(lower(b.code), 'log') OR contains(b.code, 'throw')) = 0)"""
 
 
 @query("r16_swallowed_exceptions", with_tables("cl", STRUCT_SQL, R16_SQL, body="SELECT * FROM sw"))
 def _(spark, sf):
-    return X.swallowed_exceptions(corpus(spark, sf)[1])
+    return X.swallowed_exceptions(blocks(spark, sf)[1])
 
 
 @query("r16_log_swallowed_exceptions", with_tables("cl", STRUCT_SQL, R16_SQL, """r AS (
   SELECT file_id, line_no, 0 AS sub, line FROM cl UNION ALL
   SELECT file_id, line_no, 1, concat(regexp_extract(line, '^(\\s*)', 1), 'log.error("Error occurred: ', exception, '", ', exception, ');') FROM sw)""", body=NUMBERED))
 def _(spark, sf):
-    return X.log_swallowed_exceptions(*corpus(spark, sf))
+    return X.log_swallowed_exceptions(*blocks(spark, sf))
 
 
 MAGIC_SQL = f"""mg AS MATERIALIZED (

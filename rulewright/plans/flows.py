@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rulewright.operators import code as C
 from rulewright.operators import declarations as D
 from rulewright.operators import findings as P
 from rulewright.operators import fixes as A
@@ -50,10 +51,10 @@ def fix_findings(findings: DataFrame, lines: DataFrame, project: str, cap: int |
 def fix_complex(findings: DataFrame, lines: DataFrame, fn: Callable[[list[str]], list[str]],
                 rule: str = "java:S3776") -> DataFrame:
     """Complex findings: metrics, prompt, inference, code extraction and acceptance, per finding."""
-    st = L.structure(lines)
-    per_method = M.cyclomatic(M.method_lines(st))
+    parsed = C.parse(lines)
+    per_method = M.cyclomatic(M.method_statements(parsed))
     name = F.concat_ws(".", F.when(F.col("class_name") != "", F.col("class_name")), F.col("name"))
-    detail = D.extract_methods(st).select("file_id", "start_line", name.alias("name")).join(
+    detail = D.extract_methods(parsed.done()).select("file_id", "start_line", name.alias("name")).join(
         per_method.withColumnRenamed("method_line", "start_line"), ["file_id", "start_line"])
     edges = G.import_edges(D.extract_imports(lines), G.class_map(D.type_names(lines)))
     text = L.assemble(lines)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rulewright.operators import code as C
 from rulewright.operators import declarations as D
 from rulewright.operators import findings as P
 from rulewright.operators import fixes as A
@@ -11,10 +12,9 @@ from rulewright.operators import line_rules as R
 from rulewright.operators import lines as L
 from rulewright.operators import metrics as M
 from rulewright.plans.declaration_queries import (
-    CLASS_SQL, EXACT_SQL, FIELD_SQL, IMPORT_SQL, METHOD_SQL, TYPE_SQL, corpus, import_edges, m, variables_sql, x)
-from rulewright.plans.file_rule_queries import TOKEN_SQL
+    CLASS_SQL, EXACT_SQL, FIELD_SQL, IMPORT_SQL, METHOD_SQL, TYPE_SQL, corpus, head, import_edges, m, variables_sql)
 from rulewright.plans.finding_queries import PATH
-from rulewright.plans.line_queries import STRUCT_SQL
+from rulewright.plans.line_queries import STMT_SQL
 from rulewright.plans.line_rule_queries import DETECT_SQL, REWRITE_SQL
 from rulewright.plans.registry import query, quoted as q, with_tables
 from rulewright.sources.derived import code_lines, findings, table
@@ -25,48 +25,46 @@ def n(pattern, c="line"):
 
 
 ML_SQL = METHOD_SQL + """,
-ml0 AS (SELECT st.*, max(me.start_line) AS method_line FROM st JOIN me ON me.file_id = st.file_id AND me.start_line <= st.line_no GROUP BY ALL),
 ml AS MATERIALIZED (
-  SELECT ml0.*, me.end_line AS method_end FROM ml0 JOIN me ON me.file_id = ml0.file_id AND me.start_line = method_line
-  WHERE me.end_line IS NULL OR line_no <= me.end_line)"""
+  SELECT s.*, h.start_line AS method_line, h.end_line AS method_end, h.stmt_no = s.stmt_no AS header
+  FROM sm s ASOF JOIN mr h ON h.file_id = s.file_id AND h.stmt_no <= s.stmt_no WHERE h.end_no IS NULL OR s.stmt_no <= h.end_no)"""
 
-NEST_SQL = f"""cb AS MATERIALIZED (SELECT file_id, line_no, end_line FROM st WHERE {m(M.CONTROL_BLOCK)} AND depth_after > dip),
-ne AS MATERIALIZED (SELECT st.file_id, st.line_no, st.line, count(cb.line_no) AS nesting FROM st
-  LEFT JOIN cb ON cb.file_id = st.file_id AND cb.line_no < st.line_no AND (cb.end_line IS NULL OR cb.end_line > st.line_no) GROUP BY 1, 2, 3)"""
-
-CYCLO_SQL = f"cy AS (SELECT file_id, method_line, CAST(1 + sum({n(M.BRANCH)}) AS BIGINT) AS cyclomatic FROM ml GROUP BY 1, 2)"
+_TEXT = f"regexp_replace(text, {q(M.WILDCARD)}, '\\1', 'g')"
+CYCLO_SQL = f"cy AS (SELECT file_id, method_line, CAST(1 + sum({n(M.BRANCH, _TEXT)}) AS BIGINT) AS cyclomatic FROM ml GROUP BY 1, 2)"
+_COGNITIVE = f"CAST(sum({n(M.CONTROL, _TEXT)} * (1 + nesting)) - sum({n(M.CONTROL, _TEXT)}) * max(nesting) FILTER (header) AS BIGINT)"
+_INNER = "(depth + CASE WHEN term = '{' THEN 1 ELSE 0 END)"
+_NESTING = f"CAST(greatest(max({_INNER}) - max({_INNER}) FILTER (header), 0) AS BIGINT)"
 
 
 def methods_of(spark, sf):
-    lines, st = corpus(spark, sf)
-    return lines, st, M.method_lines(st)
+    lines = code_lines(spark, sf)
+    parsed = C.parse(lines)
+    return lines, parsed.done(), M.method_statements(parsed)
 
 
-@query("m1_cyclomatic", with_tables("cl", STRUCT_SQL, ML_SQL, CYCLO_SQL, body="SELECT * FROM cy"))
+@query("m1_cyclomatic", with_tables("cl", STMT_SQL, ML_SQL, CYCLO_SQL, body="SELECT * FROM cy"))
 def _(spark, sf):
     return M.cyclomatic(methods_of(spark, sf)[2])
 
 
-_CLEAN = f"regexp_replace(line, {q(M.NOT_BINARY)}, '', 'g')"
+_CLEAN = f"regexp_replace(text, {q(M.NOT_BINARY)}, '', 'g')"
 
 
-@query("m1_cyclomatic_strict", with_tables("cl", STRUCT_SQL, ML_SQL, body=f"""
-SELECT file_id, method_line, CAST(1 + sum({n(M.BRANCH)} + {n(M.OPERATOR, _CLEAN)}) AS BIGINT) AS cyclomatic FROM ml GROUP BY 1, 2"""))
+@query("m1_cyclomatic_strict", with_tables("cl", STMT_SQL, ML_SQL, body=f"""
+SELECT file_id, method_line, CAST(1 + sum({n(M.BRANCH, _TEXT)} + {n(M.OPERATOR, _CLEAN)}) AS BIGINT) AS cyclomatic FROM ml GROUP BY 1, 2"""))
 def _(spark, sf):
     return M.cyclomatic(methods_of(spark, sf)[2], strict=True)
 
 
-@query("m2_cognitive", with_tables("cl", STRUCT_SQL, ML_SQL, NEST_SQL, body=f"""
-SELECT ml.file_id, ml.method_line, CAST(sum({n(M.CONTROL, 'ml.line')} * (1 + ne.nesting - b.nesting)) AS BIGINT) AS cognitive
-FROM ml JOIN ne USING (file_id, line_no) JOIN ne b ON b.file_id = ml.file_id AND b.line_no = ml.method_line GROUP BY 1, 2"""))
+@query("m2_cognitive", with_tables("cl", STMT_SQL, ML_SQL, body=f"SELECT file_id, method_line, {_COGNITIVE} AS cognitive FROM ml GROUP BY 1, 2"))
 def _(spark, sf):
     return M.cognitive(methods_of(spark, sf)[2])
 
 
-@query("m3_line_counts", with_tables("cl", STRUCT_SQL, METHOD_SQL, body=f"""
+@query("m3_line_counts", with_tables("cl", STMT_SQL, METHOD_SQL, body=f"""
 SELECT file_id, 'file' AS kind, 1 AS line_no, CAST(max(line_no) - min(line_no) + 1 AS BIGINT) AS line_count FROM cl GROUP BY 1
-UNION ALL SELECT file_id, 'type', line_no, CAST(end_line - line_no + 1 AS BIGINT) FROM st WHERE {m(D.TYPE)}
-UNION ALL SELECT st.file_id, 'method', line_no, CAST(st.end_line - line_no + 1 AS BIGINT) FROM st JOIN me ON me.file_id = st.file_id AND me.start_line = st.line_no"""))
+UNION ALL SELECT file_id, 'type', start_line, CAST(end_line - start_line + 1 AS BIGINT) FROM sm WHERE term = '{{' AND {m(D.TYPE, head())}
+UNION ALL SELECT mr.file_id, 'method', mr.start_line, CAST(s.end_line - mr.start_line + 1 AS BIGINT) FROM mr JOIN sm s USING (file_id, stmt_no)"""))
 def _(spark, sf):
     return M.line_counts(*corpus(spark, sf))
 
@@ -84,57 +82,56 @@ FILE_SQL = """fm AS (
   FROM (SELECT DISTINCT file_id FROM cl) f LEFT JOIN cy USING (file_id) GROUP BY 1)"""
 
 
-@query("m4_file_metrics", with_tables("cl", STRUCT_SQL, ML_SQL, CYCLO_SQL, FILE_SQL, body="SELECT * FROM fm"))
+@query("m4_file_metrics", with_tables("cl", STMT_SQL, ML_SQL, CYCLO_SQL, FILE_SQL, body="SELECT * FROM fm"))
 def _(spark, sf):
     lines, _, ml = methods_of(spark, sf)
     return M.file_metrics(lines, M.cyclomatic(ml))
 
 
-@query("m5_complexity_record", with_tables("cl", STRUCT_SQL, TYPE_SQL, ML_SQL, CYCLO_SQL, FILE_SQL, IMPORT_SQL, CLASS_SQL, EXACT_SQL, body="""
+@query("m5_complexity_record", with_tables("cl", STMT_SQL, TYPE_SQL, ML_SQL, CYCLO_SQL, FILE_SQL, IMPORT_SQL, CLASS_SQL, EXACT_SQL, body="""
 SELECT me.file_id, 'method' AS part, concat(CASE WHEN class_name <> '' THEN class_name || '.' ELSE '' END, name,
-    CASE WHEN len(parameter_types) > 0 THEN '#' || array_to_string(parameter_types, '#') ELSE '' END) AS name, start_line, end_line, cyclomatic AS value
+    CASE WHEN len(parameter_types) > 0 THEN '#' || array_to_string(parameter_types, '#') ELSE '' END) AS name, start_line, end_line, cyclomatic AS value, CAST(NULL AS BIGINT) AS depends_on
 FROM me JOIN cy ON cy.file_id = me.file_id AND cy.method_line = me.start_line
-UNION ALL SELECT file_id, 'class', name, start_line, end_line, CAST(end_line - start_line + 1 AS BIGINT) FROM ty
-UNION ALL SELECT src, 'dependency', NULL, NULL, NULL, dst FROM ed
-UNION ALL SELECT file_id, 'file', 'total_cyclomatic_complexity', NULL, NULL, total_cyclomatic_complexity FROM fm
-UNION ALL SELECT file_id, 'file', 'max_method_cyclomatic_complexity', NULL, NULL, max_method_cyclomatic_complexity FROM fm
-UNION ALL SELECT file_id, 'file', 'method_count', NULL, NULL, method_count FROM fm"""))
+UNION ALL SELECT file_id, 'class', name, start_line, end_line, CAST(end_line - start_line + 1 AS BIGINT), NULL FROM ty
+UNION ALL SELECT src, 'dependency', NULL, NULL, NULL, NULL, dst FROM ed
+UNION ALL SELECT file_id, 'file', 'total_cyclomatic_complexity', NULL, NULL, total_cyclomatic_complexity, NULL FROM fm
+UNION ALL SELECT file_id, 'file', 'max_method_cyclomatic_complexity', NULL, NULL, max_method_cyclomatic_complexity, NULL FROM fm
+UNION ALL SELECT file_id, 'file', 'method_count', NULL, NULL, method_count, NULL FROM fm"""))
 def _(spark, sf):
-    lines, st = corpus(spark, sf)
-    return M.analyze_complexity(lines, st, import_edges(spark, sf))
+    lines = code_lines(spark, sf)
+    return M.analyze_complexity(lines, C.parse(lines), import_edges(spark, sf))
 
 
-@query("m6_unused_fields", with_tables("cl", STRUCT_SQL, FIELD_SQL, TOKEN_SQL, body="""
-SELECT file_id, class_name, name, type_name, declaration_line FROM fl WHERE NOT has_initializer AND NOT starts_with(name, '_')
-AND NOT EXISTS (SELECT 1 FROM tk WHERE tk.file_id = fl.file_id AND tk.name = fl.name AND tk.line_no <> fl.declaration_line)"""))
+NAMES_SQL = "regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')"
+
+
+@query("m6_unused_fields", with_tables("cl", STMT_SQL, FIELD_SQL, f"""
+nm AS MATERIALIZED (SELECT file_id, name, count(DISTINCT stmt_no) AS n FROM (SELECT file_id, stmt_no, unnest({NAMES_SQL}) AS name FROM sm) GROUP BY 1, 2)""", body="""
+SELECT file_id, class_name, name, type_name, declaration_line FROM fl JOIN nm USING (file_id, name) WHERE NOT has_initializer AND NOT starts_with(name, '_') AND n = 1"""))
 def _(spark, sf):
-    return M.unused_fields(*corpus(spark, sf))
+    return M.unused_fields(corpus(spark, sf)[1])
 
 
-LOCAL_SQL = "lv AS (SELECT * FROM ml WHERE line_no > method_line),\n" + variables_sql("lo", "lv", ["method_line"])
+LOCAL_SQL = "lv AS (SELECT * FROM ml WHERE NOT header),\n" + variables_sql("lo", "lv", ["method_line"])
+BODY_SQL = f"bn AS MATERIALIZED (SELECT file_id, method_line, name, count(DISTINCT stmt_no) AS n FROM (SELECT file_id, method_line, stmt_no, unnest({NAMES_SQL}) AS name FROM ml WHERE NOT header) GROUP BY 1, 2, 3)"
 
 
-@query("m7_unused_variables", with_tables("cl", STRUCT_SQL, ML_SQL, LOCAL_SQL, TOKEN_SQL, f"""
-body AS (SELECT file_id, method_line, line_no, unnest(list_distinct(regexp_extract_all(
-    CASE WHEN line_no = method_line THEN regexp_extract(line, '\\{{(.*)$', 1) ELSE line END, '[A-Za-z_][A-Za-z0-9_]*'))) AS name FROM ml)""", body="""
-SELECT file_id, method_line, name, type_name, declaration_line FROM lo WHERE NOT starts_with(name, '_')
-AND NOT EXISTS (SELECT 1 FROM body b WHERE b.file_id = lo.file_id AND b.method_line = lo.method_line AND b.name = lo.name AND b.line_no <> declaration_line)"""))
+@query("m7_unused_variables", with_tables("cl", STMT_SQL, ML_SQL, LOCAL_SQL, BODY_SQL, body="""
+SELECT file_id, method_line, name, type_name, declaration_line FROM lo JOIN bn USING (file_id, method_line, name) WHERE NOT starts_with(name, '_') AND n = 1"""))
 def _(spark, sf):
     return M.unused_variables(methods_of(spark, sf)[2])
 
 
-@query("m8_unused_parameters", with_tables("cl", STRUCT_SQL, ML_SQL, """
-pa AS (SELECT me.file_id, start_line AS method_line, name AS method, unnest(parameter_names) AS parameter FROM me
-  JOIN cl ON cl.file_id = me.file_id AND cl.line_no = start_line AND contains(line, '{'))""", body="""
+@query("m8_unused_parameters", with_tables("cl", STMT_SQL, ML_SQL, BODY_SQL, """
+pa AS (SELECT file_id, start_line AS method_line, name AS method, unnest(parameter_names) AS parameter FROM mr WHERE term = '{')""", body="""
 SELECT * FROM pa WHERE parameter <> '_' AND NOT EXISTS (
-  SELECT 1 FROM ml WHERE ml.file_id = pa.file_id AND ml.method_line = pa.method_line AND list_contains(regexp_extract_all(
-    CASE WHEN line_no = ml.method_line THEN regexp_extract(line, '\\{(.*)$', 1) ELSE line END, '[A-Za-z_][A-Za-z0-9_]*'), parameter))"""))
+  SELECT 1 FROM bn WHERE bn.file_id = pa.file_id AND bn.method_line = pa.method_line AND bn.name = parameter)"""))
 def _(spark, sf):
-    _, st, ml = methods_of(spark, sf)
-    return M.unused_parameters(st, ml)
+    _, stmts, ms = methods_of(spark, sf)
+    return M.unused_parameters(stmts, ms)
 
 
-@query("m9_symbol_summary", with_tables("cl", STRUCT_SQL, ML_SQL, FIELD_SQL, LOCAL_SQL, """
+@query("m9_symbol_summary", with_tables("cl", STMT_SQL, ML_SQL, FIELD_SQL, LOCAL_SQL, """
 mk AS (SELECT *, concat(name, CASE WHEN len(parameter_types) > 0 THEN '#' || array_to_string(parameter_types, '#') ELSE '' END) AS k FROM me),
 mo AS (SELECT *, concat(CASE WHEN class_name <> '' THEN class_name || '.' ELSE '' END, k) AS owner FROM mk)""", body="""
 SELECT file_id, class_name AS owner, 'field' AS kind, name, type_name FROM fl
@@ -156,23 +153,19 @@ def _(spark, sf):
     return index.withColumn("usage_lines", F.array_join("usage_lines", ","))
 
 
-@query("m11_max_nesting", with_tables("cl", STRUCT_SQL, ML_SQL, body="""
-SELECT file_id, method_line, greatest(max(depth_after) - max(CASE WHEN line_no = method_line THEN depth_after END), 0) AS max_nesting FROM ml GROUP BY 1, 2"""))
+@query("m11_max_nesting", with_tables("cl", STMT_SQL, ML_SQL, body=f"SELECT file_id, method_line, {_NESTING} AS max_nesting FROM ml GROUP BY 1, 2"))
 def _(spark, sf):
     return M.max_nesting(methods_of(spark, sf)[2])
 
 
-@query("m_method_metrics", with_tables("cl", STRUCT_SQL, ML_SQL, NEST_SQL, body=f"""
-SELECT ml.file_id, ml.method_line, CAST(1 + sum({n(M.BRANCH, 'ml.line')}) AS BIGINT) AS cyclomatic,
-  CAST(sum({n(M.CONTROL, 'ml.line')} * (1 + ne.nesting - b.nesting)) AS BIGINT) AS cognitive,
-  CAST(max(ml.line_no) - ml.method_line + 1 AS BIGINT) AS line_count,
-  greatest(max(depth_after) - max(CASE WHEN ml.line_no = method_line THEN depth_after END), 0) AS max_nesting
-FROM ml JOIN ne USING (file_id, line_no) JOIN ne b ON b.file_id = ml.file_id AND b.line_no = ml.method_line GROUP BY 1, 2"""))
+@query("m_method_metrics", with_tables("cl", STMT_SQL, ML_SQL, body=f"""
+SELECT file_id, method_line, CAST(1 + sum({n(M.BRANCH, _TEXT)}) AS BIGINT) AS cyclomatic, {_COGNITIVE} AS cognitive,
+  CAST(max(greatest(line_no, coalesce(method_end, line_no))) - method_line + 1 AS BIGINT) AS line_count, {_NESTING} AS max_nesting FROM ml GROUP BY 1, 2"""))
 def _(spark, sf):
     return M.method_metrics(methods_of(spark, sf)[2])
 
 
-@query("d11_find_variables", with_tables("cl", STRUCT_SQL, ML_SQL, LOCAL_SQL, """
+@query("d11_find_variables", with_tables("cl", STMT_SQL, ML_SQL, LOCAL_SQL, """
 al AS (SELECT file_id, method_line, name, type_name, 0 AS rank, declaration_line FROM lo
   UNION ALL SELECT file_id, start_line, unnest(parameter_names), unnest(parameter_types), 1, start_line FROM me),
 rk AS (SELECT *, row_number() OVER (PARTITION BY file_id, method_line, name ORDER BY rank, declaration_line, type_name) AS i FROM al)""", body="""
@@ -196,7 +189,7 @@ def _section(title, text):
     return f"{q(title)}, chr(10), {text}"
 
 
-@query("a1_render_prompts", with_tables("cl fe", STRUCT_SQL, TYPE_SQL, ML_SQL, CYCLO_SQL, FILE_SQL, IMPORT_SQL, CLASS_SQL, EXACT_SQL, PROMPT_SQL, body=f"""
+@query("a1_render_prompts", with_tables("cl fe", STMT_SQL, TYPE_SQL, ML_SQL, CYCLO_SQL, FILE_SQL, IMPORT_SQL, CLASS_SQL, EXACT_SQL, PROMPT_SQL, body=f"""
 SELECT finding_id, concat('Fix the finding below and keep the behaviour of the code.', chr(10, ), chr(10),
   'ISSUE DETAILS:', chr(10), '- Rule: ', rule, chr(10), '- Message: ', message, chr(10), '- File: ', {PATH}, chr(10), chr(10),
   'CODE METRICS:', chr(10), coalesce(ms.d, ''), chr(10), chr(10), 'METHOD DETAILS:', chr(10), coalesce(md.d, ''), chr(10), chr(10),

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rulewright.functions import text as T
+from rulewright.operators import code as C
 from rulewright.operators import declarations as D
 from rulewright.operators import file_rules as X
 from rulewright.operators import findings as P
@@ -121,11 +122,11 @@ public class Shelf {
 @pytest.fixture(scope="module")
 def parsed(lines_of):
     lines = lines_of(CLASS)
-    return lines, L.structure(lines)
+    return lines, C.parse(lines)
 
 
 def test_declarations(parsed):
-    lines, st = parsed
+    lines, st = parsed[0], parsed[1].done()
     types = {r.name: r for r in D.extract_types(st, lines).collect()}
     assert types["Shelf"].qualified_name == "org.depot.stock.Shelf" and types["Shelf"].annotations == ["Deprecated"]
     assert (types["Shelf"].start_line, types["Shelf"].end_line) == (8, 33)
@@ -143,14 +144,14 @@ def test_declarations(parsed):
 
 
 def test_unused_symbols(parsed):
-    lines, st = parsed
-    ml = M.method_lines(st)
+    lines, blocks = parsed
+    st, ml = blocks.done(), M.method_statements(blocks)
     assert [r.path for r in X.unused_imports(lines).collect()] == ["java.util.Deque"]
-    assert [r.name for r in M.unused_fields(lines, st).collect()] == ["spare"]
+    assert [r.name for r in M.unused_fields(st).collect()] == ["spare"]
     assert {(r.method, r.parameter) for r in M.unused_parameters(st, ml).collect()} == {
         ("<init>Shelf(Instant)", "opened"), ("sweep", "shelves")}
     assert M.unused_variables(ml).count() == 0
-    assert [r.line_no for r in X.empty_methods(st).collect()] == [12]
+    assert [r.line_no for r in X.empty_methods(lines, st).collect()] == [12]
 
 
 WALKER = """public class Walker {
@@ -180,13 +181,13 @@ WALKER = """public class Walker {
 
 def test_metrics(lines_of):
     lines = lines_of(WALKER)
-    st = L.structure(lines)
-    got = {r.method_line: (r.cyclomatic, r.cognitive, r.line_count, r.max_nesting) for r in M.method_metrics(M.method_lines(st)).collect()}
+    ms = M.method_statements(C.parse(lines))
+    got = {r.method_line: (r.cyclomatic, r.cognitive, r.line_count, r.max_nesting) for r in M.method_metrics(ms).collect()}
     # deep: while 1, if 2, for 3, ?: 3
     assert got == {2: (1, 0, 3, 0), 6: (2, 1, 4, 0), 11: (6, 9, 12, 3)}
-    strict = {r.method_line: r.cyclomatic for r in M.cyclomatic(M.method_lines(st), strict=True).collect()}
+    strict = {r.method_line: r.cyclomatic for r in M.cyclomatic(ms, strict=True).collect()}
     assert strict[2] == 2 and strict[6] == 5
-    totals = M.file_metrics(lines, M.method_metrics(M.method_lines(st))).first()
+    totals = M.file_metrics(lines, M.method_metrics(ms)).first()
     assert tuple(totals)[1:] == (9, 6, 3)
     assert [(r.line_no, r.callee) for r in X.recursion_candidates(lines).collect()] == [(8, "halvings")]
 
