@@ -29,9 +29,7 @@ ASSIGNED_NAME = r" ([A-Za-z0-9_]+) ="
 URI_BUILDERS = ["UriComponentsBuilder", "URIBuilder", "UriBuilder"]
 URI_IMPORT = "import org.springframework.web.util.UriComponentsBuilder;"
 CATCH = r"\bcatch\s*\([^()]*?([A-Za-z0-9_]+)\s*\)\s*\{"
-NUMBER = r"\b(\d+(?:\.\d+)?)\b"
-DECIMAL = r"\b(\d+)\.(\d+)\b"
-WHOLE = r"\b([2-9]|[1-9][0-9]+|0[0-9]+)\b"
+NUMBER = r"\b(\d+(?:\.\d+)?(?:[eE][-+]?\d+)?[fFdDlL]?)\b"
 PRINT = r"System\.out\.print(?:ln)?\((.*?)\);"
 LAST_WORD_BEFORE_PAREN = r"^[^(]*?([^\s(]+)\s*\("
 CALLED = r"[. ]([A-Za-z0-9_]+)\("
@@ -39,6 +37,8 @@ CONTAINS_KEY = r"([A-Za-z0-9_.]+)\.containsKey\(([^)]+)\)"
 ASSIGNED_LOCAL = r"^[^=]*?([^\s=]+)\s*="
 FIRST_CALL = r"\breturn\b.*?([A-Za-z_][A-Za-z0-9_]*)\s*\(.*\)"
 PIECES = r"([A-Za-z0-9_]+|[^A-Za-z0-9_]+)"
+WORDS = r"([A-Za-z0-9_]+)"
+PRIVATE_FIELD = r"^\s*private\s+(?:(?:static|final|transient|volatile)\s+)*[A-Za-z0-9_.<>,\[\]]+\s+([A-Za-z0-9_]+)\s*;"
 
 
 # Tokens -----------------------------------------------------------------------------------------
@@ -95,18 +95,23 @@ def strip_comments(lines: DataFrame) -> DataFrame:
 # R6 ---------------------------------------------------------------------------------------------
 def add_private_constructor(lines: DataFrame, findings: DataFrame | None = None, rule: str = "java:S1118") -> DataFrame:
     """A private constructor behind the class anchor, unless the file has one for that class."""
-    existing = lines.where(F.col("line").rlike(PRIVATE_CONSTRUCTOR)).select(
-        "file_id", F.regexp_extract("line", PRIVATE_CONSTRUCTOR, 1).alias("class_name")).distinct()
-    anchors = (L.class_anchor(lines).where("brace_line IS NOT NULL AND class_name <> ''")
-               .join(existing, ["file_id", "class_name"], "left_anti"))
+    anchors = L.class_anchor(lines).where("brace_line IS NOT NULL AND class_name <> ''")
     if findings is not None:
         anchors = anchors.join(_one_per_file(findings, rule), "file_id", "left_semi")
+    return L.insert_after(lines, private_constructors(lines, anchors))
+
+
+def private_constructors(lines: DataFrame, anchors: DataFrame) -> DataFrame:
+    """The rows to insert at each anchor whose class has no private constructor."""
+    existing = lines.where(F.col("line").rlike(PRIVATE_CONSTRUCTOR)).select(
+        "file_id", F.regexp_extract("line", PRIVATE_CONSTRUCTOR, 1).alias("class_name")).distinct()
+    anchors = anchors.join(existing, ["file_id", "class_name"], "left_anti")
     texts = [F.format_string("    private %s() {", "class_name"),
              F.lit("        // Private constructor to prevent instantiation"),
              F.lit('        throw new UnsupportedOperationException("Utility class");'), F.lit("    }")]
     rows = F.array(*[F.concat("brace_indent", t) for t in texts], F.lit(""))
     extra = anchors.select("file_id", F.col("brace_line").alias("line_no"), F.posexplode(rows).alias("_i", "line"))
-    return L.insert_after(lines, extra.withColumn("sub", F.col("_i") + 1))
+    return extra.select("file_id", "line_no", (F.col("_i") + 1).alias("sub"), "line")
 
 
 # R8 ---------------------------------------------------------------------------------------------
@@ -118,6 +123,12 @@ def literal_pieces(lines: DataFrame) -> DataFrame:
             .withColumn("is_literal", (F.col("idx") % 2 == 1) & (F.col("idx") < F.col("n") - 1)))
 
 
+def literals_of(line: Column, min_length: int = 6) -> Column:
+    """The closed literals of a line that have at least ``min_length`` characters."""
+    pieces = F.split(line, '"', -1)
+    return F.filter(pieces, lambda p, i: (i % 2 == 1) & (i < F.size(pieces) - 1) & (F.length(p) >= min_length))
+
+
 def duplicate_literals(lines: DataFrame, min_length: int = 6) -> DataFrame:
     """Literals of at least ``min_length`` characters that a file has more than once.
 
@@ -289,24 +300,42 @@ def renames(findings: DataFrame, lines: DataFrame) -> DataFrame:
     old = F.element_at(F.split("message", "'"), 2)
     at = lines.select("file_id", F.col("line_no").alias("line"), F.col("line").alias("_text"))
     rows = named.select("file_id", "line", "finding_id", "rule", old.alias("old")).join(at, ["file_id", "line"])
+    return _renamed(rows).groupBy("file_id", "old").agg(F.min_by("new", F.struct("line", "finding_id")).alias("new"))
+
+
+def _renamed(rows: DataFrame) -> DataFrame:
     is_class = (F.col("rule") == "java:S100") & ~has(F.col("_text"), "(")
     new = F.when(is_class, to_pascal_case(F.col("old"))).otherwise(to_camel_case(F.col("old")))
-    rows = rows.withColumn("new", new).where("new <> old")
-    return rows.groupBy("file_id", "old").agg(F.min_by("new", F.struct("line", "finding_id")).alias("new"))
+    return rows.withColumn("new", new).where("new <> old")
+
+
+def finding_renames(named: DataFrame, lines: DataFrame) -> DataFrame:
+    """R13 by finding: (finding_id, file_id, old, new) for findings (finding_id, rule, message, file_id, line_no)."""
+    rows = named.where(F.col("rule").isin("java:S100", "java:S117") & has(F.col("message"), "Rename this") & has(F.col("message"), "'"))
+    at = lines.select("file_id", "line_no", F.col("line").alias("_text"))
+    return _renamed(rows.withColumn("old", F.element_at(F.split("message", "'"), 2)).join(at, ["file_id", "line_no"])).select("finding_id", "file_id", "old", "new")
+
+
+def word_postings(lines: DataFrame, words: DataFrame) -> DataFrame:
+    """Where the whole words (file_id, old) occur: lines are taken apart into their words, and only those asked for go on."""
+    own = lines.select("file_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(WORDS), F.lit(1)))).alias("old"))
+    return own.join(words, ["file_id", "old"])
+
+
+def renamed_lines(lines: DataFrame, changes: DataFrame) -> DataFrame:
+    """R13 by finding: the lines that each rename changes, with their new text."""
+    keys = [c for c in changes.columns if c not in ("old", "new")]
+    found = word_postings(lines, changes).groupBy("line_no", *keys).agg(F.map_from_entries(F.collect_list(F.struct("old", "new"))).alias("_m"))
+    pieces = F.regexp_extract_all("line", F.lit(PIECES), F.lit(1))
+    new = F.array_join(F.transform(pieces, lambda p: F.coalesce(F.try_element_at(F.col("_m"), p), p)), "")
+    return lines.join(found, ["file_id", "line_no"]).select(*keys, "line_no", new.alias("new_line"))
 
 
 def rename_in_files(lines: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replace whole words, all renames of a file at once."""
-    files = changes.select("file_id").distinct()
-    cut = lines.join(files, "file_id", "left_semi").select(
-        "file_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(PIECES), F.lit(1))).alias("idx", "piece"))
-    new = cut.join(changes.withColumnRenamed("old", "piece"), ["file_id", "piece"], "left")
-    hit = new.groupBy("file_id", "line_no").agg(
-        F.max(F.col("new").isNotNull()).alias("_hit"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", F.coalesce("new", "piece").alias("t")))),
-                                 lambda p: p["t"]), "").alias("_new")).where("_hit")
+    """Replace whole words, all renames of a file at once; only lines that hold one are rewritten."""
+    hit = renamed_lines(lines, changes.select("file_id", "old", "new"))
     return lines.join(hit, ["file_id", "line_no"], "left").select(
-        "file_id", "line_no", F.coalesce("_new", "line").alias("line"))
+        "file_id", "line_no", F.coalesce("new_line", "line").alias("line"))
 
 
 # R14 --------------------------------------------------------------------------------------------
@@ -328,31 +357,54 @@ def freeze_exception_fields(st: DataFrame) -> DataFrame:
 
 
 # R17 --------------------------------------------------------------------------------------------
+def numbers_of(line: Column) -> Column:
+    """The magic numbers of a line: all but 0 and 1, with their exponent and suffix."""
+    found = F.regexp_extract_all(line, F.lit(NUMBER), F.lit(1))
+    return F.when(plain_code(line), F.filter(found, lambda n: ~n.isin("0", "1"))).otherwise(F.array().cast("array<string>"))
+
+
+def constant_name(number: Column) -> Column:
+    """A name of its own for every number: letters and digits stay, the point becomes ``_``, a minus ``M``."""
+    return F.concat(F.lit("MAGIC_NUMBER_"), F.translate(F.upper(number), ".-+", "_MP"))
+
+
+def number_declaration() -> Column:
+    """The declaration of ``number`` by its kind, for rows with ``brace_indent``."""
+    n = F.col("number")
+    kind = (F.when(n.rlike("[lL]$"), "long").when(n.rlike("[fF]$"), "float").when(n.rlike("[.eEdD]"), "double").otherwise("int"))
+    return F.format_string("%s    private static final %s %s = %s;", "brace_indent", kind, constant_name(n), "number")
+
+
+def with_named_numbers(line: Column) -> Column:
+    """A plain line with its magic numbers replaced by their constants."""
+    gaps = F.split(line, NUMBER, -1)
+    names = F.transform(F.regexp_extract_all(line, F.lit(NUMBER), F.lit(1)), lambda n: F.when(n.isin("0", "1"), n).otherwise(constant_name(n)))
+    swapped = F.array_join(F.zip_with(gaps, names, lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    return F.when(plain_code(line), swapped).otherwise(line)
+
+
 def magic_numbers(lines: DataFrame) -> DataFrame:
     """Numbers other than 0 and 1 on plain lines, per file with their first place."""
-    found = F.posexplode(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(0))).alias("idx", "number")
-    rows = lines.where(plain_code(F.col("line"))).select("file_id", "line_no", found).where(~F.col("number").isin("0", "1"))
+    rows = lines.select("file_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(NUMBER), F.lit(1))).alias("idx", "number"),
+                        plain_code(F.col("line")).alias("_plain")).where(F.col("_plain") & ~F.col("number").isin("0", "1"))
     return rows.groupBy("file_id", "number").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("line_no", "idx")).alias("_first")).select(
-        "file_id", "number", "n", F.concat(F.lit("MAGIC_NUMBER_"), F.replace("number", F.lit("."), F.lit("_"))).alias("constant"),
+        "file_id", "number", "n", constant_name(F.col("number")).alias("constant"),
         F.col("_first.line_no").alias("first_line"), F.col("_first.idx").alias("first_idx"))
 
 
 def name_magic_numbers(lines: DataFrame) -> DataFrame:
     """Declare a constant per magic number behind the class anchor and use it on plain lines.
 
-    Every number of a plain line is magic in its file, so the replacement itself needs no join.
-    Numbers with a fraction are declared double.
+    Every number of a plain line is magic in its file, so the replacement itself needs no join. A
+    constant is declared by its kind: ``2.5f`` is a float, ``5000000000L`` a long, ``1e3`` a double.
     """
     anchors = L.class_anchor(lines).where("brace_line IS NOT NULL")
     line = F.col("line")
-    swapped = F.regexp_replace(F.regexp_replace(line, DECIMAL, "MAGIC_NUMBER_$1_$2"), WHOLE, "MAGIC_NUMBER_$1")
     body = lines.join(anchors.select("file_id", "brace_line"), "file_id", "left").select(
-        "file_id", "line_no", F.when(plain_code(line) & F.col("brace_line").isNotNull(), swapped).otherwise(line).alias("line"))
-    kind = F.when(has(F.col("number"), "."), "double").otherwise("int")
+        "file_id", "line_no", F.when(F.col("brace_line").isNotNull(), with_named_numbers(line)).otherwise(line).alias("line"))
     declared = magic_numbers(lines).join(anchors, "file_id").select(
-        "file_id", F.col("brace_line").alias("line_no"), L.sub_at(F.col("first_line"), F.col("first_idx")).alias("sub"),
-        F.format_string("%s    private static final %s %s = %s;", "brace_indent", kind, "constant", "number").alias("line"))
+        "file_id", F.col("brace_line").alias("line_no"), L.sub_at(F.col("first_line"), F.col("first_idx")).alias("sub"), number_declaration().alias("line"))
     return L.insert_after(body, declared, anchors.select("file_id", F.col("brace_line").alias("anchor")))
 
 
@@ -361,6 +413,12 @@ def log_instead_of_print(lines: DataFrame) -> DataFrame:
     """Logger calls instead of prints; imports before the class, the logger field inside it."""
     line = F.col("line")
     body = lines.withColumn("line", F.regexp_replace("line", PRINT, "LOGGER.info($1);"))
+    return L.insert_after(body, logger_lines(lines))
+
+
+def logger_lines(lines: DataFrame) -> DataFrame:
+    """The rows to insert in files that print: imports before the class, the logger field inside it."""
+    line = F.col("line")
     files = lines.groupBy("file_id").agg(
         F.max(line.rlike(PRINT)).alias("_prints"), F.max(has(line, "import org.slf4j.Logger")).alias("_imported"),
         F.max(has(line, "private static final Logger LOGGER")).alias("_declared")).where("_prints")
@@ -372,7 +430,7 @@ def log_instead_of_print(lines: DataFrame) -> DataFrame:
     field = F.format_string("%s    private static final Logger LOGGER = LoggerFactory.getLogger(%s.class);",
                             "brace_indent", "class_name")
     behind = at.where("NOT _declared").select("file_id", F.col("brace_line").alias("line_no"), F.lit(1).alias("sub"), field.alias("line"))
-    return L.insert_after(body, before.drop("_i").unionByName(behind))
+    return before.drop("_i").unionByName(behind)
 
 
 # R19 --------------------------------------------------------------------------------------------
@@ -415,6 +473,13 @@ def unused_locals(lines: DataFrame) -> DataFrame:
     return assigned.select("file_id", "line_no", name.alias("name")).join(once, ["file_id", "name"], "left_semi")
 
 
+def unused_private_fields(lines: DataFrame) -> DataFrame:
+    """Private fields without initialiser whose name occurs on no other line of the file."""
+    found = lines.where(F.col("line").rlike(PRIVATE_FIELD)).select("file_id", "line_no", F.regexp_extract("line", PRIVATE_FIELD, 1).alias("name"))
+    once = token_lines(lines).where("n_lines = 1").select("file_id", "name")
+    return found.join(once, ["file_id", "name"], "left_semi").select("file_id", "line_no", "name")
+
+
 def remove_unused_locals(lines: DataFrame) -> DataFrame:
     return L.delete_lines(lines, unused_locals(lines))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rulewright.functions.text import strip
+from rulewright.operators import lines as L
+from rulewright.operators.scan import Total, scan
 
 # Section titles of the prompt, in order; the wording around them is free.
 SECTIONS = ["ISSUE DETAILS:", "CODE METRICS:", "METHOD DETAILS:", "DEPENDENCIES:", "ORIGINAL CODE:", "REFACTORED CODE:"]
@@ -89,31 +91,34 @@ def first_code_block(text: Column) -> Column:
 
 
 def batch_infer(prompts: DataFrame, fn: Callable[[list[str]], list[str]], batch_rows: int = 256) -> DataFrame:
-    """A3: call ``fn`` on batches of prompts; a failing batch is retried row by row.
+    """A3: call ``fn`` on batches of prompts. A failing batch is cut in halves until the failing rows are alone,
+    so one bad prompt among 256 costs some 16 calls; every other prompt of the failing half is asked again only
+    on the way down.
 
-    The output has (finding_id, response, error): an error stays with its row and the job goes on.
+    The output has (finding_id, response, error): an error stays with its row and the job goes on. The id keeps
+    its type.
     """
+    def ask(texts: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            answers = list(fn(texts))
+            if len(answers) != len(texts):
+                raise ValueError(f"{len(answers)} answers for {len(texts)} prompts")
+            return [(a, None) for a in answers]
+        except Exception as e:
+            if len(texts) <= 1:
+                return [(None, str(e))] * len(texts)
+            half = len(texts) // 2
+            return ask(texts[:half]) + ask(texts[half:])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for at in range(0, len(frame), batch_rows):
                 part = frame.iloc[at:at + batch_rows]
-                texts = list(part["prompt"])
-                try:
-                    answers, errors = list(fn(texts)), [None] * len(texts)
-                    if len(answers) != len(texts):
-                        raise ValueError(f"{len(answers)} answers for {len(texts)} prompts")
-                except Exception:
-                    answers, errors = [], []
-                    for t in texts:
-                        try:
-                            answers.append(fn([t])[0])
-                            errors.append(None)
-                        except Exception as e:
-                            answers.append(None)
-                            errors.append(str(e))
-                yield pd.DataFrame({"finding_id": part["finding_id"].values, "response": answers, "error": errors})
-
-    return prompts.select("finding_id", "prompt").mapInPandas(run, "finding_id bigint, response string, error string")
+                got = ask(list(part["prompt"]))
+                yield pd.DataFrame({"finding_id": part["finding_id"].values, "response": [g[0] for g in got], "error": [g[1] for g in got]})
+
+    id_type = prompts.schema["finding_id"].dataType.simpleString()
+    return prompts.select("finding_id", "prompt").mapInPandas(run, f"finding_id {id_type}, response string, error string")
 
 
 def balanced(text: Column) -> Column:
@@ -151,3 +156,54 @@ def accept_fixes(old: DataFrame, new: DataFrame, verdicts: DataFrame | None = No
               .when(~balanced(text), "unbalanced").when(F.coalesce(F.col("passed"), F.lit(True)) == F.lit(False), "tests failed"))
     return checked.select(key, *more, reason.isNull().alias("accepted"), reason.alias("reason"),
                           F.when(text.rlike(HEADS), "unit").otherwise("fragment").alias("form"))
+
+
+# A4 by lines ------------------------------------------------------------------------------------
+def line_balance(line: Column) -> Column:
+    """What a line does to the depth of (), [] and {}: per kind the sum and the lowest value on the way, the
+    elements of a monoid that runs over the lines of a file."""
+    marks = F.split(F.regexp_replace(line, r"[^(){}\[\]]", ""), "")
+
+    def step(acc, ch):
+        out = []
+        for k, (o, c) in BRACKETS.items():
+            s = acc[k] + F.when(ch == o, 1).when(ch == c, -1).otherwise(0)
+            out += [s.alias(k), F.least(acc[f"{k}_low"], s).alias(f"{k}_low")]
+        return F.struct(*out)
+
+    start = F.struct(*[F.lit(0).alias(n) for k in BRACKETS for n in (k, f"{k}_low")])
+    return F.aggregate(marks, start, step)
+
+
+BRACKETS = {"round": ("(", ")"), "square": ("[", "]"), "curly": ("{", "}")}
+
+
+def balanced_files(lines: DataFrame, block_size: int | None = None) -> DataFrame:
+    """(file_id, balanced) for files with brackets: no depth goes below zero and all end at zero. No file is put
+    together: lines send their sums and lows, which run over the file by blocks."""
+    few = lines.where(F.col("line").rlike(r"[(){}\[\]]")).select("file_id", "line_no", line_balance(F.col("line")).alias("b")).select("file_id", "line_no", "b.*")
+    runs = scan(few, ["file_id"], ["line_no"], block_size, **{f"{k}_run": Total(F.col(k).cast("bigint")) for k in BRACKETS})
+    ok = [(F.min(F.col(f"{k}_run") - F.col(k) + F.col(f"{k}_low")) >= 0) & (F.sum(k) == 0) for k in BRACKETS]
+    return runs.groupBy("file_id").agg((ok[0] & ok[1] & ok[2]).alias("balanced"))
+
+
+def file_digests(lines: DataFrame) -> DataFrame:
+    """(file_id, digest): count and combined hash of a file's numbered lines."""
+    return lines.groupBy("file_id").agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("line_no", "line")).alias("x"),
+                                                 F.sum(F.xxhash64("line", "line_no").cast("decimal(38,0)")).alias("s")).alias("digest"))
+
+
+def accept_lines(old: DataFrame, new: DataFrame, verdicts: DataFrame | None = None) -> DataFrame:
+    """A4 for line tables: the columns of :func:`accept_fixes` by file. Texts are never put together, so a
+    file of any size passes; changes show in line digests."""
+    solid = strip(F.col("line")) != ""
+    first = F.min_by("line", F.when(solid, F.col("line_no")))
+    facts = new.groupBy("file_id").agg(F.max(solid).alias("_solid"), first.alias("_first"))
+    same = file_digests(new).join(file_digests(old).withColumnRenamed("digest", "_old"), "file_id").where(F.col("digest") == F.col("_old")).select(
+        "file_id", F.lit(True).alias("_same"))
+    checked = facts.join(same, "file_id", "left").join(balanced_files(new), "file_id", "left")
+    checked = checked.join(verdicts, "file_id", "left") if verdicts is not None else checked.withColumn("passed", F.lit(True))
+    reason = (F.when(~F.coalesce("_solid", F.lit(False)), "empty").when(F.col("_same"), "unchanged")
+              .when(~F.coalesce("balanced", F.lit(True)), "unbalanced").when(~F.coalesce("passed", F.lit(True)), "tests failed"))
+    return checked.select("file_id", reason.isNull().alias("accepted"), reason.alias("reason"),
+                          F.when(F.col("_first").rlike(HEADS), "unit").otherwise("fragment").alias("form"))

@@ -172,7 +172,7 @@ def class_anchor(lines: DataFrame, block_size: int | None = None) -> DataFrame:
         F.regexp_extract("a._b.line", r"^(\s*)", 1).alias("brace_indent"))
 
 
-SUB_STEP = 1 << 20
+SUB_STEP = 1 << 32  # places on one line; line numbers have 31 bits, so a place fits a bigint
 
 
 def sub_at(line_no: Column, idx: Column) -> Column:

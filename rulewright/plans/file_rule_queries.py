@@ -242,9 +242,9 @@ def _(spark, sf):
 
 
 MAGIC_SQL = f"""mg AS MATERIALIZED (
-  SELECT file_id, number, count(*) AS n, concat('MAGIC_NUMBER_', replace(number, '.', '_')) AS constant, min(line_no * 1048576 + i - 1) AS place
+  SELECT file_id, number, count(*) AS n, concat('MAGIC_NUMBER_', translate(upper(number), '.-+', '_MP')) AS constant, min(line_no * 1048576 + i - 1) AS place
   FROM (SELECT file_id, line_no, generate_subscripts(ns, 1) AS i, unnest(ns) AS number
-        FROM (SELECT file_id, line_no, regexp_extract_all(line, {q(X.NUMBER)}) AS ns FROM cl WHERE {PLAIN}))
+        FROM (SELECT file_id, line_no, regexp_extract_all(line, {q(X.NUMBER)}, 1) AS ns FROM cl WHERE {PLAIN}))
   WHERE number NOT IN ('0', '1') GROUP BY 1, 2)"""
 
 
@@ -256,7 +256,8 @@ def _(spark, sf):
 
 @query("r17_name_magic_numbers", with_tables("cl", ANCHOR_SQL, MAGIC_SQL, f"""r AS (
   SELECT cl.file_id, line_no, 0 AS sub, CASE WHEN brace_line IS NOT NULL AND {PLAIN}
-    THEN regexp_replace(regexp_replace(line, {q(X.DECIMAL)}, 'MAGIC_NUMBER_\\1_\\2', 'g'), {q(X.WHOLE)}, 'MAGIC_NUMBER_\\1', 'g') ELSE line END AS line
+    THEN array_to_string(list_transform(list_zip(string_split_regex(line, {q(X.NUMBER)}), regexp_extract_all(line, {q(X.NUMBER)}, 1)),
+      lambda z: concat(z[1], CASE WHEN z[2] IN ('0', '1') THEN z[2] WHEN z[2] IS NULL THEN '' ELSE concat('MAGIC_NUMBER_', translate(upper(z[2]), '.-+', '_MP')) END)), '') ELSE line END AS line
   FROM cl LEFT JOIN an USING (file_id)
   UNION ALL SELECT file_id, brace_line, place, concat(brace_indent, '    private static final ', CASE WHEN contains(number, '.') THEN 'double' ELSE 'int' END,
     ' ', constant, ' = ', number, ';') FROM mg JOIN an USING (file_id) WHERE brace_line IS NOT NULL)""", body=NUMBERED))

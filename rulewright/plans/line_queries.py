@@ -65,7 +65,7 @@ pc2 AS (SELECT *, sum(length(replace(text, ')', '')) - length(replace(text, '(',
 pc3 AS (SELECT *, last_value(CASE WHEN term IN ('{{', '}}') THEN r END IGNORE NULLS) OVER (PARTITION BY file_id ORDER BY line_no, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS base FROM pc2),
 pc4 AS (SELECT *, coalesce(term IN ('{{', '}}') OR (term = ';' AND r <= coalesce(base, 0)), false) AS ends FROM pc3),
 pc5 AS (SELECT *, sum(ends::INT) OVER (PARTITION BY file_id ORDER BY line_no, idx) - ends::INT AS stmt_no FROM pc4),
-sm0 AS (SELECT file_id, stmt_no, {_STRIP.format("regexp_replace(string_agg(CASE WHEN NOT ends AND term = ';' THEN text || ';' ELSE text END, ' ' ORDER BY line_no, idx), '\s+', ' ', 'g')")} AS text,
+sm0 AS (SELECT file_id, stmt_no, {_STRIP.format("regexp_replace(string_agg(CASE WHEN NOT ends AND term = ';' THEN text || ';' ELSE text END, ' ' ORDER BY line_no, idx), '\\s+', ' ', 'g')")} AS text,
     max(line_no) AS line_no, max(CASE WHEN ends THEN term END) AS term,
     coalesce(min(line_no) FILTER (regexp_matches(text, '\\S') AND NOT regexp_matches(text, {quoted(C.NOTE_LINE.replace('*+', '*'))})), max(line_no)) AS start_line FROM pc5 GROUP BY 1, 2),
 sm1 AS (SELECT *, CASE term WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END AS step FROM sm0 WHERE text <> '' OR term IS DISTINCT FROM ';'),

@@ -53,7 +53,7 @@ DETECT_SQL = {
     "R20": f"NOT {NOT_PLAIN} AND ({' OR '.join(m(p) for p, _ in R.SIZE_FORMS)})",
     "R21-fixme": "contains(line, 'FIXME')",
     "R21-todo": "contains(line, 'TODO')",
-    "R22": f"regexp_matches(lower(line), 'password|secret|key') AND {m(R.ASSIGNED)}",
+    "R22": f"regexp_matches(lower(line), 'password|secret|key') AND {m(R.SECRET_LITERAL)}",
     "R23": "contains(line, 'createStatement()') OR (contains(line, 'execute(') AND contains(line, '+') "
            f"AND NOT contains(line, '?') AND {m(R.SQL_CONCAT)})",
     "R24": f"{any_of(['File.', 'Path.'])} AND NOT contains(line, 'getCanonicalPath') AND {m(R.NEW_FILE)}",
@@ -70,7 +70,7 @@ REWRITE_SQL = {
     "R7": sub(R.LITERAL_LEFT, f"{B}1.equals({B}2)", sub(R.LITERAL_RIGHT, f"{B}1.equals({B}2)")),
     "R15": sub(R.EMPTY_CATCH, f"{B}1" + R.EMPTY_CATCH_BODY),
     "R20": _size_sql(),
-    "R22": sub(R.ASSIGNED, '= System.getenv("SECURE_CREDENTIAL");', "replace(line, '\"', '')"),
+    "R22": sub(R.SECRET_LITERAL, f'{B}1System.getenv("SECURE_CREDENTIAL"){B}2'),
     "R23": f"CASE WHEN contains(line, 'createStatement()') THEN replace(line, 'createStatement()', {q(R.PREPARED)}) "
            f"ELSE {sub(R.SQL_CONCAT, '?')} END",
     "R24": sub(R.NEW_FILE, f"new File(new File({B}1).getCanonicalFile())"),
@@ -102,6 +102,14 @@ for _id, _name in NAMES.items():
     _register(_id, _name)
 
 
+@query("r33_comment_rows", with_tables("cl", body=f"""
+SELECT file_id, line_no, -9 AS sub, '// The database URL comes from the application''s configuration' AS line FROM cl WHERE {m(R.JDBC_URL)}
+UNION ALL SELECT file_id, line_no, CASE WHEN {m(R.JDBC_URL)} THEN -8 ELSE -9 END, '// Database user and password come from the environment or a vault' FROM cl
+  WHERE {m(R.DB_USER)} OR {m(R.DB_PASSWORD)}"""))
+def _(spark, sf):
+    return R.database_comment_rows(code_lines(spark, sf))
+
+
 HITS_SQL = "hits AS (" + " UNION ALL ".join(
     f"SELECT file_id, line_no, line, {q(r)} AS rule_id FROM cl WHERE {c}" for r, c in DETECT_SQL.items()) + ")"
 
@@ -210,3 +218,12 @@ def _(spark, sf):
     from rulewright.sources.sinks import changed_files
     lines = code_lines(spark, sf)
     return changed_files(L.assemble(lines), L.assemble(R.rewrite(lines, "R20")))
+
+
+@query("s6_changed_lines", with_tables("cl", f"""n AS (
+  SELECT file_id, line_no, line AS old, CASE WHEN {DETECT_SQL['R20']} THEN {REWRITE_SQL['R20']} ELSE line END AS line FROM cl)""", body="""
+SELECT file_id, line_no, line FROM n WHERE file_id IN (SELECT file_id FROM n WHERE line <> old)"""))
+def _(spark, sf):
+    from rulewright.sources.sinks import changed_lines
+    lines = code_lines(spark, sf)
+    return changed_lines(lines, R.rewrite(lines, "R20"))

@@ -275,4 +275,4 @@ ac AS (SELECT nw.file_id, CASE WHEN nw.text = tx.text THEN 'unchanged' WHEN NOT
 def _(spark, sf):
     lines = code_lines(spark, sf)
     verdicts = findings(spark, sf).groupBy("file_id").agg(F.min(F.col("status") != "RESOLVED").alias("passed"))
-    return A.accept_fixes(L.assemble(lines), L.assemble(R.rewrite(lines, "R20")), verdicts)
+    return A.accept_lines(lines, R.rewrite(lines, "R20"), verdicts)

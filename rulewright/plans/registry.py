@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 _CTES = {
     "cl": f"cl AS MATERIALIZED ({derived.CODE_LINES_SQL})",
     "fe": f"fe AS MATERIALIZED ({derived.FINDINGS_SQL})",
+    "cu": f"cu AS MATERIALIZED ({derived.UNIT_LINES_SQL})",
     "dg": f"dg AS MATERIALIZED ({derived.DEP_EDGES_SQL})",
 }
 

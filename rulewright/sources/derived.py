@@ -84,6 +84,21 @@ SELECT f, CAST(rn + 2 AS INT), {BODY_LINE} FROM body"""
 
 FINDINGS_SQL = f"SELECT {FINDING_COLUMNS} FROM events"
 
+# A complete small file for every user of events, with something for several rules at fixed lines.
+UNIT_LINES = """array(
+    concat('package org.unit', CAST(u % 5 AS STRING), ';'),
+    concat('public final class U', CAST(u AS STRING), ' {'),
+    '    private boolean ready; // set later',
+    concat('    int my_func', CAST(1 + u % 7 AS STRING), '(java.util.List list) {'),
+    '        if (ready == true) { list.clear(); }',
+    '        boolean none = list.size() == 0;',
+    concat('        int spare', CAST(u % 3 AS STRING), ' = 1;'),
+    CASE WHEN u % 3 = 0 THEN '        list.add(\")\");' ELSE '        list.add(none);' END,
+    CASE WHEN u % 11 = 0 THEN '        return none ? 0 : 1; }' ELSE '        return none ? 0 : 1;' END,
+    '    }', '}')"""
+UNIT_LINES_SQL = f"""SELECT u AS file_id, CAST(generate_subscripts(ls, 1) AS INT) AS line_no, unnest(ls) AS line
+FROM (SELECT u, {UNIT_LINES.replace('array(', 'list_value(', 1)} AS ls FROM (SELECT DISTINCT user_id AS u FROM events))"""
+
 DEP_EDGES_SQL = """SELECT DISTINCT l_partkey AS src, l_suppkey * 20 - l_linenumber AS dst
 FROM lineitem
 WHERE l_partkey <> l_suppkey * 20 - l_linenumber"""
@@ -104,6 +119,13 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("f").alias("file_id"), F.col("r.line_no").cast("int").alias("line_no"), "r.line")
 
 
+def unit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CU: one complete file per user."""
+    users = table(spark, sf_dir, "events").select(F.col("user_id").alias("u")).distinct()
+    return users.select(F.col("u").alias("file_id"), F.posexplode(F.expr(UNIT_LINES)).alias("_p", "line")).select(
+        "file_id", (F.col("_p") + 1).alias("line_no"), "line")
+
+
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FE: one finding per event."""
     return spark.sql(f"SELECT {FINDING_COLUMNS} FROM {{events}}", events=table(spark, sf_dir, "events"))
