@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from rulewright.operators import code as C
 from rulewright.operators import lines as L
 from rulewright.sources.derived import code_lines
 
@@ -28,10 +29,12 @@ def test_rule_scan_needs_no_shuffle_of_its_own(spark):
 def test_scan_shares_its_exchange(spark):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        p = plan(L.block_depth(code_lines(spark, SF)))
+        p, chain = plan(L.with_next(code_lines(spark, SF))), plan(C.statements(code_lines(spark, SF)))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "ReusedExchange" in p and p.count("FileScan") == 1
+    # Files of one block: one exchange for the table's own line numbers and one by file, whatever the number of scans.
+    assert chain.count("FileScan") == 1 and chain.count("Exchange hashpartitioning") == 2 and "Join" not in chain
 
 
 def test_columns_are_pruned(spark):
