@@ -23,6 +23,26 @@ def read_sources(spark: SparkSession, root: str, glob: str = "*.java") -> DataFr
                         F.col("value").alias("text"))
 
 
+def source_manifest(spark: SparkSession, root: str, glob: str = "*.java") -> DataFrame:
+    """One row per matching file below ``root``, readable or not: (path, size, modified, digest, status, reason, text).
+
+    ``digest`` is the SHA-256 of the bytes. A file that isn't UTF-8 has status ``skipped`` with its reason and no
+    text, so it doesn't vanish; all others are ``ok``. Files of no bytes have no row: Spark's readers leave them out. Keep the table to see later which files are new or changed.
+    """
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root))
+    base, body = root.rstrip("/") + "/", F.col("content").cast("string")
+    valid = F.is_valid_utf8(body)
+    return found.select(
+        F.substring_index("path", base, -1).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"),
+        F.sha2("content", 256).alias("digest"), F.when(valid, "ok").otherwise("skipped").alias("status"),
+        F.when(~valid, "not UTF-8").alias("reason"), F.when(valid, body).alias("text"))
+
+
+def changed_sources(manifest: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The files of a manifest that an earlier one lacks or has with another digest."""
+    return manifest.join(earlier.select("path", "digest"), ["path", "digest"], "left_anti")
+
+
 def read_findings(spark: SparkSession, path: str) -> DataFrame:
     """Findings from exported JSON pages, one document per file."""
     pages = spark.read.schema(PAGE_SCHEMA).option("multiLine", True).json(path)

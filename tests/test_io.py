@@ -18,6 +18,21 @@ def test_read_sources(spark, tmp_path):
     assert got == {"a/b/X.java": "class X {\n}\n", "Y.java": "é"}
 
 
+def test_unreadable_files_are_listed(spark, tmp_path):
+    (tmp_path / "Good.java").write_text("class Gut { } // é\n", encoding="utf-8")
+    (tmp_path / "Bad.java").write_bytes(b"class B { } // \xe9\n")
+    (tmp_path / "Empty.java").write_bytes(b"")
+    first = readers.source_manifest(spark, str(tmp_path))
+    got = {r.path: (r.status, r.reason, r.text, r.size) for r in first.collect()}
+    assert got == {"Good.java": ("ok", None, "class Gut { } // é\n", 20), "Bad.java": ("skipped", "not UTF-8", None, 17)}
+    first.write.parquet(str(tmp_path / "manifest"))
+    kept = spark.read.parquet(str(tmp_path / "manifest"))
+    assert readers.changed_sources(readers.source_manifest(spark, str(tmp_path)), kept).isEmpty()
+    (tmp_path / "Good.java").write_text("class Gut { }\n", encoding="utf-8")
+    (tmp_path / "New.java").write_text("x", encoding="utf-8")
+    assert {r.path for r in readers.changed_sources(readers.source_manifest(spark, str(tmp_path)), kept).collect()} == {"Good.java", "New.java"}
+
+
 def test_read_findings(spark, tmp_path):
     pages = [{"issues": [{"key": "1", "rule": "r", "line": 3, "extra": 1}], "total": 3},
              {"hotspots": [{"key": "2", "rule": "s"}, {"key": "1", "rule": "r"}], "paging": {"total": 3}}, {"errors": []}]
