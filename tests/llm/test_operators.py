@@ -510,3 +510,15 @@ def test_common_sentences_make_no_pairs(spark):
     items = spark.createDataFrame([(i, f"{common} {words(30, 100 + i)}") for i in range(40)], "item_id long, text string")
     many = spark.createDataFrame([(i, f"{words(50, 5000 + i)} {common}") for i in range(60)] + [(99, items.first().text)], "doc_id long, text string")
     assert [(r.id, r.item_id, r.containment) for r in decontam.contained(many, items).collect()] == [(99, 0, 1.0)]
+
+
+def test_lm_words_that_share_a_level(spark):
+    """More equally frequent words than are broadcast: the model still has its words, and the end its own count."""
+    from rulewright.llm import lm
+
+    rows = [(f"w{i:04d}".encode(), 3) for i in range(400)] + [(lm.END, 2), (b"rare", 1)]
+    vocab = lm.vocabulary(spark.createDataFrame(rows, "token binary, c long"), hot=100)
+    own = {w for w, s in zip(vocab.words, vocab.symbol) if s != vocab.other}
+    assert own == {f"w{i:04d}".encode() for i in range(lm.SYMBOLS - 3)} | {lm.END}
+    assert dict(zip(vocab.words, vocab.counts))[lm.END] == 2 and vocab.symbol_counts[vocab.end] == 2
+    assert vocab.other_total == 3 * 400 + 2 + 1 - 3 * (lm.SYMBOLS - 3) - 2
