@@ -102,3 +102,51 @@ def test_many_rows_behind_one_anchor(spark, size):
 def test_null_keys_belong_to_no_group(spark):
     df = spark.createDataFrame([(None, 1, "x"), (1, 1, "y")], "file_id bigint, line_no int, line string")
     assert [r.line for r in L.with_next(df).collect()] == ["y"]
+
+
+def test_parts_follow_the_lines(spark):
+    """A task's share of a chain of scans doesn't grow with the corpus, and AQE doesn't merge the parts."""
+    from rulewright.operators import code as C
+    from rulewright.operators.scan import extent
+
+    lines = spark.range(4000).selectExpr("id AS file_id", "1 AS line_no", "'int a;' AS line")
+    assert extent(lines, task_lines=1000) == (True, 4) and extent(lines.selectExpr("file_id", "2 AS line_no"), size=1) == (False, 2)
+    assert extent(lines.limit(0)) == (True, 2)
+    blocks = C.line_blocks(lines)
+    assert blocks.whole and blocks.rows.rdd.getNumPartitions() == blocks.tasks == 2
+
+
+def test_statements_are_cut_once(spark):
+    """Reports of several kinds of declarations don't cut the corpus into statements once per kind."""
+    from rulewright.operators import code as C, declarations as D, metrics as M
+
+    text = "class A {\n int f, g = 1;\n void m(int a, int b) {\n  int x, y;\n  use(b, y);\n  if (y > 0) { return; }\n }\n}\nenum E {\n ONE, TWO\n}"
+    lines = spark.createDataFrame([(1, i + 1, t) for i, t in enumerate(text.split("\n"))], "file_id bigint, line_no int, line string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    parsed = C.parse(lines)
+    ms = M.method_statements(parsed)
+    reports = {"m6": M.unused_fields(parsed.done()), "m7": M.unused_variables(ms), "m8": M.unused_parameters(parsed.done(), ms), "d4": D.extract_fields(parsed.done())}
+    for name, df in reports.items():
+        assert plan(df).count("Scan ExistingRDD") == 1, name
+    few = M.declarations(parsed, decisions=True)
+    summary = M.symbol_summary(few, few.where("method_line IS NOT NULL"))
+    assert "Scan ExistingRDD" not in plan(summary) and "Window" not in plan(summary)
+    assert [r.name for r in reports["m6"].collect()] == ["f"]
+    assert [r.name for r in reports["m7"].collect()] == ["x"]
+    assert [(r.method, r.parameter) for r in reports["m8"].collect()] == [("m", "a")]
+    assert {(r.name, r.is_enum_constant) for r in reports["d4"].collect()} == {("f", False), ("g", False), ("ONE", True), ("TWO", True)}
+    assert {(r.kind, r.name) for r in summary.collect()} == {
+        ("field", "f"), ("field", "g"), ("field", "ONE"), ("field", "TWO"), ("method", "m#int#int"), ("parameter", "a"), ("parameter", "b"),
+        ("variable", "x"), ("variable", "y")}
+    assert [r.cyclomatic for r in M.cyclomatic(few.where("method_line IS NOT NULL")).collect()] == [r.cyclomatic for r in M.cyclomatic(ms).collect()] == [2]
+
+
+def test_prompts_cut_the_findings_files_once(spark):
+    from rulewright.plans import flows
+
+    lines = spark.createDataFrame([(1, 1, "class A {"), (1, 2, " int f() { return 1; }"), (1, 3, "}"), (2, 1, "class B { }")], "file_id bigint, line_no int, line string")
+    findings = spark.createDataFrame([(7, 1, "r", "m", "p:A.java"), (8, 3, "r", "m", "p:C.java")], "finding_id bigint, file_id bigint, rule string, message string, component string")
+    prompts, text = flows.prompts(findings, lines)
+    assert [r.file_id for r in text.collect()] == [1]  # files without findings are not put together
+    got = {r.finding_id: r.prompt for r in prompts.collect()}
+    assert "- A.f:\n  cyclomatic: 1" in got[7] and "class A {\n int f() { return 1; }\n}" in got[7] and "METHOD DETAILS:\n\n" in got[8]
