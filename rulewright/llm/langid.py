@@ -65,7 +65,7 @@ class _Vectors:
 
     def __init__(self, dim: int, bound: int = 16_000):
         self.dim, self.bound, self.at, self.n = dim, bound, np.full(SYMBOLS ** 3, -1, np.int32), 0
-        self.rows = np.zeros((1024, dim), np.float32)
+        self.rows = np.zeros((bound, dim), np.float32)  # takes memory as rows are written
 
     def bundle(self, codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         new = codes[self.at[codes] < 0]
@@ -73,8 +73,6 @@ class _Vectors:
             self.at[:], self.n, new = -1, 0, codes
         if len(new) > self.bound:  # more at once than may be held
             return sum(counts[i:i + 1024].astype(np.float32) @ trigram_vectors(codes[i:i + 1024], self.dim).astype(np.float32) for i in range(0, len(codes), 1024))
-        while self.n + len(new) > len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
         self.rows[self.n:self.n + len(new)] = trigram_vectors(new, self.dim)
         self.at[new] = np.arange(self.n, self.n + len(new))
         self.n += len(new)

@@ -45,7 +45,7 @@ class WordIds(dict):
     A new word of ASCII or Latin-1 letters, with one punctuation mark at most behind it, is one pre-token (and the
     mark another), so it goes to the tokenizer's model at once; any other word takes the whole encoder."""
 
-    def __init__(self, tokenizer_path: str, bound: int = 800_000):
+    def __init__(self, tokenizer_path: str, bound: int = 400_000):
         from tokenizers import Tokenizer
         self.tokenizer, self.bound = Tokenizer.from_file(tokenizer_path), bound
         self.marks = {"": b""} | {ch: self.whole(ch) for ch in ".,;:!?"}
