@@ -80,7 +80,7 @@ def _file_edits(named: DataFrame, at: DataFrame, lines: DataFrame) -> list[DataF
     empty = X.empty_methods(lines, statements(lines)).where("end_line > line_no")
     out.append(_edit(of(named, "java:S1186").join(empty, key), "insert", note, 1))
     log = F.concat(indent(F.col("line")), F.format_string('    log.error("Error occurred: %s", %s);', "exception", "exception"))
-    blocks = L.structure(lines)
+    blocks = L.structure_blocks(lines)
     caught = X.swallowed_exceptions(blocks)
     out.append(_edit(of(named, "java:S112").join(caught.drop("end_line"), key), "insert", log, 1))
 
