@@ -18,7 +18,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["r16_swallowed_exceptions", "r16_log_swallowed_exceptions", "d3_methods", "m1_cyclomatic",
+@pytest.mark.parametrize("name", ["r16_swallowed_exceptions", "r16_log_swallowed_exceptions", "r12_empty_methods", "d3_methods", "m1_cyclomatic",
                                   "m1_cyclomatic_strict", "m2_cognitive"])
 def test_every_exchange_has_counted_parts(spark, name):
     text = plan(entry.queries()[name](spark, SF))
