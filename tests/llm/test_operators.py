@@ -522,3 +522,32 @@ def test_lm_words_that_share_a_level(spark):
     assert own == {f"w{i:04d}".encode() for i in range(lm.SYMBOLS - 3)} | {lm.END}
     assert dict(zip(vocab.words, vocab.counts))[lm.END] == 2 and vocab.symbol_counts[vocab.end] == 2
     assert vocab.other_total == 3 * 400 + 2 + 1 - 3 * (lm.SYMBOLS - 3) - 2
+
+
+def test_lm_tells_words_beyond_the_symbols_apart(spark):
+    """Words that are no symbol of the model are predicted from, and predict, the words around them."""
+    texts = lambda shift: [(i, " ".join([f"left{i:03d} right{(i + shift) % 400:03d}"] * 3)) for i in range(400)]
+    docs, swapped = (spark.createDataFrame(texts(k), "doc_id long, text string") for k in (0, 1))
+    counts = lm.count_tokens(docs)
+    vocab = lm.vocabulary(counts)
+    model = lm.train(docs, vocab)
+    seen, other = ({r.id: r for r in lm.score(d, counts, vocab, model).collect()} for d in (docs, swapped))
+    beyond = [i for i in range(400) if {f"left{i:03d}".encode(), f"right{i:03d}".encode()}.isdisjoint(
+        w for w, s in zip(vocab.words, vocab.symbol) if s != vocab.other)]
+    assert len(beyond) > 100 and all(seen[i].base_score == pytest.approx(other[i].base_score) for i in beyond)
+    assert sum(seen[i].score for i in beyond) > sum(other[i].score for i in beyond) + len(beyond) / 10
+
+
+def test_lm_probabilities_of_all_words_sum_to_one(spark):
+    rows = [(f"w{i}".encode(), 1 + i % 7) for i in range(3000)] + [(lm.END, 50)]
+    vocab = lm.vocabulary(spark.createDataFrame(rows, "token binary, c long"), hot=1000)
+    model, r = lm.initial(vocab.symbol_counts), np.random.default_rng(1)
+    model.tree += r.normal(size=model.tree.shape).astype(np.float32)
+    leaf = np.arange(len(vocab.mass))
+    p = 10 ** lm.log_leaf(model, vocab.tree_bias, np.full(len(leaf), 300), np.full(len(leaf), 7), leaf)
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    share, own = np.zeros(len(leaf)), {w for w, s in zip(vocab.words, vocab.symbol) if s != vocab.other}
+    for w, c in rows:
+        if w not in own:
+            share[zlib.crc32(w) % len(leaf)] += (c + 1) / vocab.mass[zlib.crc32(w) % len(leaf)]
+    assert share[vocab.mass > 0] == pytest.approx(1) and p[vocab.mass > 0].sum() == pytest.approx(1, abs=1e-2)
