@@ -30,3 +30,7 @@ def test_lines_are_built_once(spark, monkeypatch, module, name):
     monkeypatch.setattr(module, "written_lines", lambda *a: calls.append(a) or written_lines(*a))
     entry.queries()[name](spark, SF)
     assert len(calls) == 1
+
+
+def test_resolving_types_reads_written_lines(spark):
+    assert "lineitem" not in plan(entry.queries()["d12_resolve_types"](spark, SF))
