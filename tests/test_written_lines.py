@@ -34,3 +34,9 @@ def test_lines_are_built_once(spark, monkeypatch, module, name):
 
 def test_resolving_types_reads_written_lines(spark):
     assert "lineitem" not in plan(entry.queries()["d12_resolve_types"](spark, SF))
+
+
+def test_finding_methods_reads_written_declarations(spark):
+    """Types, the names asked for and methods come from one cutting of the statements."""
+    text = plan(entry.queries()["d11_find_method"](spark, SF))
+    assert "Window" not in text and "lineitem" not in text
