@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from rulewright.operators import code as C
 from rulewright.operators import file_rules as X
 from rulewright.operators import lines as L
+from rulewright.operators import metrics as M
 from rulewright.sources.derived import code_lines
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +53,9 @@ def test_counted_renumbering(spark):
     extra = df.where("line_no = 3").select("file_id", "line_no", F.lit(1).alias("sub"), F.lit("new").alias("line"))
     got = sorted(map(tuple, L.insert_after(df, extra, whole=True, tasks=3).collect()))
     assert got == sorted(map(tuple, L.insert_after(df, extra).collect())) and len(got) == 35
+
+
+def test_looking_ahead_sorts_no_second_time(spark):
+    """Lines, pieces, statements, their events by level and by number: one sort each, the methods need none."""
+    text = plan(M.in_methods(C.parse(code_lines(spark, SF, counted=True))))
+    assert "DESC" not in text.split("Window [row_number()")[0] and text.split("Initial Plan")[0].count("Sort [") == 6  # the sixth is that of the order lines
