@@ -59,3 +59,10 @@ def test_looking_ahead_sorts_no_second_time(spark):
     """Lines, pieces, statements, their events by level and by number: one sort each, the methods need none."""
     text = plan(M.in_methods(C.parse(code_lines(spark, SF, counted=True))))
     assert "DESC" not in text.split("Window [row_number()")[0] and text.split("Initial Plan")[0].count("Sort [") == 6  # the sixth is that of the order lines
+
+
+def test_method_headers_are_matched_once(spark):
+    """The scan for methods and the choice of declarations share one column."""
+    lines = spark.createDataFrame([(1, 1, "class A {"), (1, 2, "int f() {"), (1, 3, "}"), (1, 4, "}")], "file_id bigint, line_no int, line string")
+    assert [r.is_method for r in M.in_methods(C.parse(lines)).orderBy("stmt_no").collect()] == [False, True]
+    assert "is_method" not in M.declarations(C.parse(lines)).columns + M.method_statements(C.parse(lines)).columns
